@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import simhash, tokens
+from sluice.llm import chat, decontaminate, mixing, nbsvm, simhash, styletree, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +21,55 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7, n=3, held_out=1)
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))
+    added = spark.range(1).select(F.explode(turns).alias("t")).select(F.lit(-7).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", F.lit(said).alias("text"))
+    return chat.read_back(chat.expand(rows.unionByName(added)))
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
+def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, n=5, held_out=0)
+
+
+#: Target weights of the mixture, in tickets of a round; sources that are not listed share the rest.
+TICKETS = {"src0": 20} | {f"src{k}": 4 for k in range(1, 20)}
+
+
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, TICKETS, rest=4)
+
+
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_token_planes": op4_token_planes,
-    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    f.__name__: f
+    for f in (op1_toxicity_grammar, op2_benchmark_decontamination, op3_prefix_targets, op4_token_planes, op5_quality_nbsvm, op6_pfair_mixing, op7_site_style_tree, op8_simhash_near_dedup, op10_exact_top_k)
 }
 
 #: DuckDB's SQL for the queries that it can express.
