@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, mixing, nbsvm, simhash, styletree, tokens, topk, toxicity
+from sluice.llm import chat, decontaminate, lines, mixing, nbsvm, simhash, styletree, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +63,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=3, similarity=0.8)
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity_grammar, op2_benchmark_decontamination, op3_prefix_targets, op4_token_planes, op5_quality_nbsvm, op6_pfair_mixing, op7_site_style_tree, op8_simhash_near_dedup, op10_exact_top_k)
+    for f in (op1_toxicity_grammar, op2_benchmark_decontamination, op3_prefix_targets, op4_token_planes, op5_quality_nbsvm, op6_pfair_mixing, op7_site_style_tree, op8_simhash_near_dedup, op9_fuzzy_lines, op10_exact_top_k)
 }
 
 #: DuckDB's SQL for the queries that it can express.

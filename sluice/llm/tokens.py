@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -82,8 +83,8 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, shards: int | None = None, **how) -> DataFrame:
-    """Write the ids of all rows to plane files under ``path`` in ascending doc_id order; returns (shard, path, n_docs, n_ids, start).
+def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, shards: int | None = None, order: list[str] | None = None, **how) -> DataFrame:
+    """Write the ids of all rows to plane files under ``path`` in ascending doc_id order, or that of the columns ``order``; returns (shard, path, n_docs, n_ids, start).
 
     ``tokenizer``: the file of a tokenizer that drops white space. Every document's ids end with
     ``end_id``. Null texts count as empty; null doc_ids come first; rows of one doc_id are in order of
@@ -103,9 +104,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
         enc = encoder(tokenizer)
 
         def rows():
-            for batch in (first, *()):
-                yield from zip(batch["doc_id"], batch["text"], strict=True)
-            for batch in batches:
+            for batch in chain([first], batches):
                 yield from zip(batch["doc_id"], batch["text"], strict=True)
 
         ids = ((None if pd.isna(d) else int(d), np.frombuffer(enc.encode(t or "") + end, dtype="<u4")) for d, t in rows())
@@ -114,8 +113,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
         yield pd.DataFrame({"shard": [shard], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     # as text, so that no null turns integers into floating-point numbers on the way
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    by = order or [doc_id]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"by{k}") for k, c in enumerate(by)])
+    keys = [F.col(f"by{k}").asc_nulls_first() for k in range(len(by))]
+    dealt = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, F.col("text").asc_nulls_first())
     written = materialize(dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(write, "shard int, path string, n_docs long, n_ids long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
