@@ -255,16 +255,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; columns as they are. No shuffle: each row is judged by itself."""
     for index in _indexes(benchmark, similarity, recall):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.filter(~_holds(docs.sparkSession.sparkContext.broadcast(index))("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def holds(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for s in texts:
-                out = np.zeros(len(s), dtype=bool)
-                for k in range(0, len(s), 500):
-                    for d, *_ in shared.value.find(s.iloc[k : k + 500].tolist()):
-                        out[k + d] = True
-                yield pd.Series(out)
 
-        docs = docs.filter(~holds("text"))
-    return docs
+def _holds(shared):
+    """A function of texts: whether they hold an item of this index."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            out = np.zeros(len(s), dtype=bool)
+            for k in range(0, len(s), 500):
+                for d, *_ in shared.value.find(s.iloc[k : k + 500].tolist()):
+                    out[k + d] = True
+            yield pd.Series(out)
+
+    return holds
