@@ -28,13 +28,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, n: int, held_o
     return materialize(rows.join(F.broadcast(chosen), "doc_id"), "training")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; the ridge leaves out column 0, the intercept."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, prior: tuple[float, ...] = ()) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; the ridge draws them to ``prior`` (zeros) and leaves out column 0, the intercept."""
+    toward = np.array(prior) if prior else np.zeros(x.shape[1])
+    w, penalty = toward.copy(), np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * (w - toward))
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
