@@ -56,6 +56,19 @@ class Files:
         finally:
             stream.close()
 
+    def head(self, p: str, n: int) -> bytes:
+        """The first bytes of a file, or of the first file with any in a folder."""
+        fs, at = self.system(p), self.path(p)
+        found = [s for s in fs.globStatus(at) or []]
+        files = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+        if not files:
+            return b""
+        stream = fs.open(files[0].getPath())
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, files[0].getLen())))
+        finally:
+            stream.close()
+
     def write(self, p: str, text: str) -> None:
         """Put a small file in place at once."""
         part = f"{p}.{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import sqlite3
 from collections.abc import Iterator
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sluice.cluster import shared_path
 from sluice.functions import scalars
+from sluice.operators.tables import Files
 
 _NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?)$"
 
@@ -35,10 +38,43 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[scalars.cast_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema])
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", encoding: str = "UTF-8", schema: T.StructType | None = None) -> DataFrame:
-    """Rows of a CSV file: short rows are filled with nulls, long ones cut, blank ones skipped, NUL bytes taken out; bad cells are null."""
-    raw = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False, enforceSchema=True, ignoreLeadingWhiteSpace=False)
-    names = [c.lstrip("﻿").replace("\x00", "") for c in raw.columns]
+#: Encodings that Spark reads itself.
+SPARK_ENCODINGS = {"iso-8859-1", "latin-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
+HEAD_BYTES = 1 << 16
+
+
+def sniff_encoding(head: bytes) -> str:
+    """The encoding of a file by its first bytes: a byte order mark, else UTF-8 if they are, else windows-1254, which reads any Latin text."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if head.startswith(mark):
+            return name
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)  # a letter may be cut off at the end
+        return "utf-8"
+    except UnicodeDecodeError:
+        return "windows-1254"
+
+
+def _utf8(spark: SparkSession, path: str, encoding: str) -> str:
+    """A copy in UTF-8 in the shared folder, for an encoding that Spark does not read; a file is decoded by one task."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"value": [c.decode(encoding, "replace").rstrip("\n") for c in batch["content"]]})
+
+    out = shared_path(spark, "utf8")
+    spark.read.format("binaryFile").load(path).select("content").mapInPandas(of, "value string").write.text(out)
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of CSV files: short rows are filled with nulls, long ones cut, blank ones skipped, NUL bytes taken out; bad cells are null. Without an encoding, the first file's bytes tell it."""
+    encoding = (encoding or sniff_encoding(Files(spark).head(path, HEAD_BYTES))).lower()
+    if encoding not in SPARK_ENCODINGS:
+        path, encoding = _utf8(spark, path, encoding), "utf-8"
+    encoding = "iso-8859-1" if encoding == "latin-1" else encoding
+    raw = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False, enforceSchema=True)
+    names = [c.lstrip("\ufeff").replace("\x00", "") for c in raw.columns]
     if schema is not None and len(schema) == len(names):
         names = schema.names
     clean = raw.select(*[F.replace(F.col(f"`{c}`"), F.lit("\x00"), F.lit("")).alias(n) for c, n in zip(raw.columns, names, strict=True)])
@@ -174,7 +210,7 @@ def read_sql_dump(spark: SparkSession, path: str, schema: T.StructType | None =
 # SQLite
 
 # What SQLite's declared types become, fixed values.
-SQLITE_TYPES = {"INT": "bigint", "BOOL": "boolean", "REAL": "double", "FLOA": "double", "DOUB": "double", "DECIMAL": "double", "NUMERIC": "double"}
+SQLITE_TYPES = {"INT": T.LongType(), "BOOL": T.BooleanType(), "REAL": T.DoubleType(), "FLOA": T.DoubleType(), "DOUB": T.DoubleType(), "DECIMAL": T.DoubleType(), "NUMERIC": T.DoubleType()}
 
 
 class _Range(InputPartition):
@@ -227,12 +263,12 @@ class SqliteSource(DataSource):
         db = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
         if "query" in self.options:
             names = [(d[0], "") for d in db.execute(self.options["query"]).description]
-            kinds = [(n, "string") for n, _ in names]
+            kinds = [(n, T.StringType()) for n, _ in names]
         else:
             declared = [(r[1], r[2].upper()) for r in db.execute(f'PRAGMA table_info("{self.options["table"]}")')]
-            kinds = [(n, next((t for k, t in SQLITE_TYPES.items() if k in d), "string")) for n, d in declared]
+            kinds = [(n, next((t for k, t in SQLITE_TYPES.items() if k in d), T.StringType())) for n, d in declared]
         db.close()
-        return T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds])
+        return T.StructType([T.StructField(n, k) for n, k in kinds])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _SqliteReader(dict(self.options), schema)

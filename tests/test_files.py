@@ -29,8 +29,13 @@ def test_dirty_csv(spark, tmp_path):
 
 @pytest.mark.parametrize("encoding", ["utf-8", "windows-1254", "iso-8859-9", "latin-1"])
 def test_csv_encodings(spark, tmp_path, encoding):
-    df = readers.read_csv(spark, put(tmp_path / "e.csv", "id;city\n1;Köln\n", encoding), delimiter=";", encoding=encoding)
-    assert rows(df) == [(1, "Köln")]
+    path = put(tmp_path / "e.csv", "id;city\n1;Köln\n", encoding)
+    assert rows(readers.read_csv(spark, path, delimiter=";", encoding=encoding)) == [(1, "Köln")]
+    assert rows(readers.read_csv(spark, path, delimiter=";")) == [(1, "Köln")]
+
+
+def test_sniffed_encodings():
+    assert [readers.sniff_encoding(b) for b in ("ab€".encode()[:-1], "\ufeffa".encode(), "\ufeffa".encode("utf-16"), "ş".encode("cp1254"), b"")] == ["utf-8", "utf-8", "utf-16", "windows-1254", "utf-8"]
 
 
 def test_broken_jsonl(spark, tmp_path):
