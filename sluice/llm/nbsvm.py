@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.cluster import materialize
 from sluice.llm.labelled import logistic, remainder, sigmoid, training_rows
 
 MEMO_WORDS = 300_000
@@ -118,51 +119,78 @@ class Model:
         return float(sigmoid(np.array(self.slope * self.margin(found) + self.offset)))
 
 
-def _fit(docs: list[np.ndarray], y: np.ndarray, min_docs: int, cost: float, smooth: float) -> tuple[np.ndarray, np.ndarray]:
-    ids, at = np.unique(np.concatenate(docs), return_inverse=True)
-    ends = np.cumsum([len(d) for d in docs])[:-1]
-    keep = np.bincount(at) >= min_docs
-    new = np.cumsum(keep) - 1
-    rows = [new[a[keep[a]]] for a in np.split(at, ends)]
-    width = int(keep.sum())
-    by_class = [np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == c] or [np.zeros(0, int)]), minlength=width) + smooth for c in (0, 1)]
+def _fit(docs: list[np.ndarray], y: np.ndarray, width: int, min_docs: int, cost: float, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that enough rows have, and their weights; rows are lists of columns below ``width``."""
+    by_class = np.zeros((2, width))
+    for d, t in zip(docs, y, strict=True):
+        by_class[t, d] += 1
+    keep = by_class.sum(axis=0) >= min_docs
+    place = (np.cumsum(keep) - 1).astype(np.int32)
+    rows = [place[d[keep[d]]] for d in docs]
+    by_class = by_class[:, keep] + smooth
     ratio = np.log(by_class[1] / by_class[1].sum()) - np.log(by_class[0] / by_class[0].sum())
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
+    values = [(ratio[r] / np.sqrt(max(1, len(r)))).astype(np.float32) for r in rows]
     share = y.mean()
     costs = np.where(y == 1, cost * 0.5 / share, cost * 0.5 / (1 - share))
-    w = dual_coordinate_descent(rows, values, np.where(y == 1, 1.0, -1.0), width, costs)
-    return ids[keep], w * ratio
+    w = dual_coordinate_descent(rows, values, np.where(y == 1, 1.0, -1.0), len(ratio), costs)
+    return np.flatnonzero(keep), w * ratio
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, min_docs: int = 5, cost: float = 1.0, smooth: float = 1.0, folds: int = 4) -> Model:
-    """Fit on feature lists and 0/1 labels. One class only, or no row: a model that gives that class's share (0.5 without rows)."""
+def fit(docs: list[np.ndarray], y: np.ndarray, known: np.ndarray | None = None, min_docs: int = 5, cost: float = 1.0, smooth: float = 1.0, folds: int = 4) -> Model:
+    """Fit on lists of features and 0/1 labels. With ``known``, the lists hold places in that sorted array of features instead.
+
+    One class only, or no row: a model that gives that class's share (0.5 without rows).
+    """
     y = np.asarray(y, dtype=int)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(np.log(share / (1 - share))))
+    if known is None:
+        known = np.unique(np.concatenate(docs))
+        docs = [np.searchsorted(known, d).astype(np.int32) for d in docs]
     margins, fold = np.zeros(len(y)), np.random.default_rng(11).integers(0, folds, len(y))
     for k in range(folds):  # margins of rows that the model has not seen, for the probabilities
         inside = np.flatnonzero(fold != k)
         if len(set(y[inside].tolist())) < 2:
             continue
-        part = Model(*_fit([docs[i] for i in inside], y[inside], min_docs, cost, smooth), 1.0, 0.0)
+        part = Model(*_fit([docs[i] for i in inside], y[inside], len(known), min_docs, cost, smooth), 1.0, 0.0)
         for i in np.flatnonzero(fold == k):
             margins[i] = part.margin(docs[i])
     offset, slope = logistic(np.stack([np.ones(len(y)), margins], axis=1), y, ridge=1e-3)
-    return Model(*_fit(docs, y, min_docs, cost, smooth), max(0.0, float(slope)), float(offset))
+    at, weights = _fit(docs, y, len(known), min_docs, cost, smooth)
+    return Model(known[at], weights, max(0.0, float(slope)), float(offset))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 5, held_out: int = 0, max_rows: int = 12_000, words_too: bool = True, **how) -> Model:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out remainder; executors make the features, the driver fits."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 5, held_out: int = 0, max_rows: int = 12_000, words_too: bool = True, min_docs: int = 5, **how) -> Model:
+    """Fit on at most ``max_rows`` labelled rows outside the held-out remainder.
+
+    Executors make the features and count in how many rows each stands; what reaches the driver is only those that
+    ``min_docs`` rows have, as small numbers.
+    """
 
     @F.pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield pd.Series([features(x, words_too).view(np.int64) for x in s])
 
-    rows = training_rows(docs, labels, label, n, held_out, max_rows).select("doc_id", "label", of("text").alias("found"))
-    got = rows.toPandas().sort_values(["doc_id", "label"], kind="stable")
-    return fit([np.asarray(x, dtype=np.int64).view(np.uint64) for x in got["found"]], got["label"].to_numpy(), **how)
+    rows = training_rows(docs, labels, label, n, held_out, max_rows)
+    rows = materialize(rows.select("doc_id", "label", of("text").alias("found")), "features")
+    often = rows.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= min_docs).select("f").toPandas()
+    known = np.sort(often["f"].to_numpy(dtype=np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<int>")
+    def number(found: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in found:
+            out = []
+            for x in s:
+                x = np.asarray(x, dtype=np.int64).view(np.uint64)
+                at = np.minimum(np.searchsorted(shared.value, x), max(0, len(shared.value) - 1))
+                out.append(np.sort(at[shared.value[at] == x]).astype(np.int32) if len(shared.value) else np.zeros(0, np.int32))
+            yield pd.Series(out)
+
+    got = rows.select("doc_id", "label", number("found").alias("found")).toPandas().sort_values(["doc_id", "label"], kind="stable")
+    return fit([np.asarray(x, dtype=np.int32) for x in got["found"]], got["label"].to_numpy(), known, min_docs=min_docs, **how)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", words_too: bool = True) -> DataFrame:
