@@ -33,7 +33,7 @@ def test_rounds_are_earliest_deadline_first(spark, share):
 
 
 def docs(spark, sizes):
-    rows = [(f"s{k}-{i}" if False else 1000 * k + i, f"s{k}", "t") for k, n in enumerate(sizes) for i in range(n)]
+    rows = [(1000 * k + i, f"s{k}", "t") for k, n in enumerate(sizes) for i in range(n)]
     random.Random(2).shuffle(rows)
     return spark.createDataFrame(rows, "doc_id long, source string, position string").repartition(3)
 
