@@ -48,6 +48,10 @@ PAGE_TAGS = {"html", "body"}
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"} | INLINE
 
 
+#: Tasks that one host's pages are dealt to.
+SALTS = 64
+
+
 @dataclass
 class Block:
     """A run of text between block boundaries: its text, the paths of the elements around it, and whether one of them says that it is no article."""
@@ -207,5 +211,7 @@ def main_text(pages: DataFrame, least: float = 0.3, min_pages: int = 4) -> DataF
         for html, paths in parts:
             yield pd.Series([extract(h, frozenset(() if p is None else (int(x) for x in p))) for h, p in zip(html, paths, strict=True)], dtype=object)
 
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    return rows.join(by_host, "host", "left").select("page_id", "url", of("html", "low").alias("text"))
+    # a host may have any share of the pages: its pages are dealt to SALTS tasks, each with its own copy of the host's few paths
+    salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, ["host", "salt"], "left").select("page_id", "url", of("html", "low").alias("text"))
