@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 _PAIR = "zip_with(slice(a, 1, least(size(a), size(b))), slice(b, 1, least(size(a), size(b))), (x, y) -> {})"
 _TOTAL = "aggregate(" + _PAIR + ", 0D, (s, v) -> s + v)"
 _SQUARES = f"{_TOTAL.format('x * x')} * {_TOTAL.format('y * y')}"
-_COSINE = f"CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE coalesce(greatest(-1D, least(1D, try_divide({_TOTAL.format('x * y')}, sqrt({_SQUARES})))), 0D) END"
+_COSINE = f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN {_SQUARES} > 0 THEN greatest(-1D, least(1D, {_TOTAL.format('x * y')} / sqrt({_SQUARES}))) ELSE 0D END"
 
 #: Body of each function of two vectors.
 BODIES = {

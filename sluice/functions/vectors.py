@@ -77,8 +77,8 @@ def manhattan_distance(a: Column, b: Vector) -> Column:
 def cosine_similarity(a: Column, b: Vector) -> Column:
     """From -1 to 1; 0 if either vector is empty or has norm 0."""
     squares = _sum(a, b, lambda x, y: x * x) * _sum(a, b, lambda x, y: F.when(x.isNotNull(), y * y))
-    ratio = dot_product(a, b) / F.sqrt(F.when(squares > 0, squares))
-    return F.when(squares.isNull(), F.lit(None).cast("double")).otherwise(F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)), F.lit(0.0)))
+    ratio = dot_product(a, b) / F.sqrt(squares)
+    return F.when(squares > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))).when(squares.isNotNull(), F.lit(0.0))
 
 
 def cosine_distance(a: Column, b: Vector) -> Column:
