@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from sluice.cluster import materialize
-from sluice.llm import decontaminate, mixing, queries, simhash, tokens, toxicity
+from sluice.llm import decontaminate, mixing, queries, shingles, tokens, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash fingerprints link."""
-    return simhash.keep_one(docs, width=3, radius=2)
+    """One document of each group that SimHash fingerprints or a similarity of 0.8 of five-word shingles link."""
+    return shingles.keep_one(docs, width=5, similarity=0.8, radius=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

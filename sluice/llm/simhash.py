@@ -107,7 +107,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     Of rows with that same doc_id, the one with the least text stays (null first). Rows with a null
     doc_id stay, as nothing names them. Columns and their order are those of ``docs``.
     """
-    found = near_duplicates(docs, doc_id, text, **how)
+    return keep_least(docs, near_duplicates(docs, doc_id, text, **how), doc_id, text)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """keep_one for components that are found already: ``found`` has (doc_id, component_id)."""
     first = found.groupBy("component_id").agg(F.min("doc_id").alias("__keep")).filter("__keep is not null").select("__keep")
     kept = docs.join(first, F.col(doc_id) == F.col("__keep"), "left_semi")
     order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first())
