@@ -28,8 +28,11 @@ _WORD = re.compile(r"\w+")
 ITEMS_PER_PASS = 20_000
 SIMILARITY = 0.8
 RECALL = 0.98
-#: Steps that a table's key samples, and the share of steps at which walks of sequences at the limit of edits agree (measured in the tests).
+#: Steps that a table's key samples, and the share of steps at which walks of sequences at the limit of edits are taken to agree.
 SAMPLED, AGREE = 3, 0.4
+#: Independent walks that the tables are spread over, for items of LONG words or fewer: where one walk does not fall into step again, another
+#: one does. Longer items fall out of step more often and have more of both (recall at the limit, by length and kind of edit: see the tests).
+WALKS, LONG = 12, 40
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +49,11 @@ def tables_needed(recall: float = RECALL, agree: float = AGREE, sampled: int = S
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled))
 
 
+def parts_needed(n: int) -> int:
+    """How many times WALKS an item of n words needs, and its tables as well."""
+    return max(1, math.ceil((n / LONG) ** 1.5))
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end): the part of ``text`` with the least edit distance to ``item``, the first such to end."""
     m = len(text)
@@ -74,6 +82,7 @@ class Group:
     tables: list[np.ndarray]
     keys: list[np.ndarray]
     owners: list[np.ndarray]
+    walks: int
 
 
 class Index:
@@ -88,7 +97,10 @@ class Index:
         self.items = [np.array([self.vocabulary[x] for x in w], dtype=np.int64) for _, w in listed]
         self.size = len(self.vocabulary) + 2  # 0: any other word; the last one: beyond the end
         steps = 2 * max((len(w) for w in self.items), default=0) + 1
-        self.move = self.rng.integers(0, 2, size=(steps, self.size), dtype=np.int8)
+        self.walks = WALKS * parts_needed(max((len(w) for w in self.items), default=0))
+        # walk w moves on at step j after a word if the top bit of word_hash * step_hash[w, j] is set
+        self.word_hash = self.rng.integers(0, 1 << 63, size=self.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.step_hash = self.rng.integers(0, 1 << 63, size=(self.walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.triples = np.unique(np.concatenate([self._triple(w) for w in self.items] or [np.zeros(0, np.int64)]))
         self.lengths = sorted({len(w) for w in self.items})
         self.groups = self._groups(tables_needed(recall))
@@ -96,12 +108,12 @@ class Index:
     def _triple(self, w: np.ndarray) -> np.ndarray:
         return (w[:-2] * self.size + w[1:-1]) * self.size + w[2:]
 
-    def walk(self, text: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-        """(steps, starts): the words that walks from each start emit. ``text`` ends with the word beyond the end."""
+    def walk(self, text: np.ndarray, starts: np.ndarray, steps: int, walk: int = 0) -> np.ndarray:
+        """(steps, starts): the words that a walk from each start emits. ``text`` ends with the word beyond the end."""
         at, out = starts.copy(), np.empty((steps, len(starts)), dtype=np.int64)
         for j in range(steps):
             out[j] = text[at]
-            at = np.minimum(at + self.move[j][out[j]], len(text) - 1)
+            at = np.minimum(at + ((self.word_hash[out[j]] * self.step_hash[walk, j]) >> np.uint64(63)).astype(np.int64), len(text) - 1)
         return out
 
     @staticmethod
@@ -118,17 +130,21 @@ class Index:
             n = len(self.items[by_length[0]])
             members = [k for k in by_length if len(self.items[k]) <= max(n + 1, 1.3 * n)]
             by_length = by_length[len(members) :]
+            parts = parts_needed(len(self.items[members[-1]]))
             # within n steps no walk has left its item, so equal texts share all keys of every other table
-            reach = [n if t % 2 == 0 else max(n, int(1.6 * n)) for t in range(tables)]
+            reach = [n if t % 2 == 0 else max(n, int(1.6 * n)) for t in range(tables * parts)]
             sampled = [np.sort(self.rng.choice(r, size=min(SAMPLED, r), replace=False)) for r in reach]
-            keys, owners = [], []
-            walks = np.concatenate([self.walk(np.append(self.items[k], self.size - 1), np.zeros(1, np.int64), max(reach)) for k in members], axis=1)
-            for steps in sampled:
-                key = self._key(walks, steps)
+            # the items in one text, each with as many words beyond the end after it as its walk may take
+            apart = [np.append(self.items[k], np.full(max(reach) + 1, self.size - 1)) for k in members]
+            text, starts, walks = np.concatenate(apart), np.cumsum([0, *map(len, apart[:-1])]), WALKS * parts
+            keys, owners = [None] * len(sampled), [None] * len(sampled)
+            for t in sorted(range(len(sampled)), key=lambda t: t % walks):  # one walk at a time in memory
+                if t < walks:
+                    walked = self.walk(text, starts, max(reach), t)
+                key = self._key(walked, sampled[t])
                 order = np.argsort(key, kind="stable")
-                keys.append(key[order])
-                owners.append(np.array(members)[order])
-            out.append(Group(n, len(self.items[members[-1]]), sampled, keys, owners))
+                keys[t], owners[t] = key[order], np.array(members)[order]
+            out.append(Group(n, len(self.items[members[-1]]), sampled, keys, owners, walks))
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +199,10 @@ class Index:
             starts = self._admitted(text, bounds, g.shortest, g.longest)
             if not len(starts):
                 continue
-            walked = self.walk(text, starts, int(max(s.max() for s in g.tables)) + 1)
-            for steps, keys, owners in zip(g.tables, g.keys, g.owners, strict=True):
+            for t in sorted(range(len(g.tables)), key=lambda t: t % g.walks):  # one walk at a time in memory
+                steps, keys, owners = g.tables[t], g.keys[t], g.owners[t]
+                if t < g.walks:
+                    walked = self.walk(text, starts, int(max(s.max() for s in g.tables[t :: g.walks])) + 1, t)
                 key = self._key(walked, steps)
                 low, high = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
                 for i in np.flatnonzero(high > low).tolist():

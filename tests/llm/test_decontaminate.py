@@ -76,6 +76,20 @@ def test_recall_and_precision_against_brute_force(items):
     assert sum(x in found for x in near) >= 0.95 * len(near)
 
 
+@pytest.mark.parametrize(("n", "kinds"), [(n, k) for n in (10, 15, 30, 40, 59, 100, 200) for k in ("mixed", "delete")])
+def test_recall_at_the_limit_of_edits(n, kinds):
+    rng = random.Random(n)
+    listed = [(k, [rng.choice(VOCABULARY) for _ in range(n)]) for k in range(250)]
+    texts = []
+    for _, w in listed:
+        limit = d.edits_allowed(n)
+        gone = set(rng.sample(range(n), limit))
+        v = edited(rng, w, limit) if kinds == "mixed" else [x for i, x in enumerate(w) if i not in gone]
+        texts.append(" ".join([*prose(rng, 40), *v, *prose(rng, 40)]))
+    found = {(t, i) for t, i, *_ in d.Index([(k, " ".join(w)) for k, w in listed]).find(texts)}
+    assert sum((k, k) in found for k in range(250)) >= d.RECALL * 250
+
+
 def test_admission_loses_no_window(items):
     """Windows that hold an item within the allowed edits are never passed over."""
     rng, index = random.Random(9), d.Index(items, recall=0.5)
