@@ -179,14 +179,19 @@ def host(url: Column) -> Column:
 
 
 def importance(pages: DataFrame, presentation: float = 0.2) -> DataFrame:
-    """(host, path, pages, importance) of each path of each host, from 0 (alike on all pages) to 1 (different on each); 1 for a path on one page."""
+    """(host, path, pages, importance) of each path of each host, from 0 (alike on all different pages) to 1 (different on each); 1 for a path on one page."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, p, kind, x) for h, html in zip(batch["host"], batch["html"], strict=True) for p, a, b in features(html) for kind, x in ((0, a), (1, b))]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "value"])
-
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(of, "host string, path long, kind int, value long")
+            rows = [(h, page, [dict(zip(("path", "a", "b"), f, strict=True)) for f in features(html)]) for h, page, html in zip(batch["host"], batch["page"], batch["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["host", "page", "found"])
+
+    read = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    read = read.mapInPandas(of, "host string, page long, found array<struct<path: long, a: long, b: long>>")
+    # copies of a page are no evidence of a template: each different page counts once
+    once = read.groupBy("host", "page").agg(F.first("found").alias("found")).select("host", F.inline("found"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("a").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("b").alias("value")))
+    seen = once.select("host", "path", F.inline(kinds))
     # counts of each value first: a host with very many pages is spread over its values
     counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     of_kind = lambda k, c: F.sum(F.when(F.col("kind") == k, c))
@@ -199,7 +204,7 @@ def importance(pages: DataFrame, presentation: float = 0.2) -> DataFrame:
 def main_text(pages: DataFrame, least: float = 0.3, min_pages: int = 4) -> DataFrame:
     """page_id, url, text of each row of ``pages``.
 
-    Paths on at least ``min_pages`` pages of a host with an importance below ``least`` are cut. The article, where it is marked,
+    Paths on at least ``min_pages`` different pages of a host with an importance below ``least`` are cut. The article, where it is marked,
     and unnamed paragraphs and headings are never cut by count: a host whose pages are copies would lose them.
     Null html gives an empty text; pages without a host are one host; repeated rows are pages of their own. Other columns are not read.
     """

@@ -76,6 +76,13 @@ def test_copies_keep_their_text(spark):
     assert got == {"rules\nthe same", "the same"}
 
 
+def test_copies_are_no_evidence_of_a_template(spark):
+    body = lambda k: page(f"<div class=strip>rules</div><h1>Head {k}</h1><div class=story><div>text {k}</div></div>")
+    rows = [(k, "http://copied.example/", body(max(0, k - 79))) for k in range(100)]
+    got = {r.page_id: r.text for r in styletree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {max(0, k - 79)}\ntext {max(0, k - 79)}" for k in range(100)}
+
+
 def test_hard_rows(spark):
     df = spark.createDataFrame([(None, None, None), (1, "no url", "<p>a"), (1, "no url", "<p>a"), (2, "HTTP://U:p@Host.Example:80/x", "<p>b")], "page_id long, url string, html string")
     got = sorted((tuple(r) for r in styletree.main_text(df).collect()), key=repr)
