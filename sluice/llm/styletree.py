@@ -28,7 +28,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"[-_]?[0-9]+$")
 
 # What HTML defines, fixed values.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -54,11 +54,12 @@ SALTS = 64
 
 @dataclass
 class Block:
-    """A run of text between block boundaries: its text, the paths of the elements around it, and whether one of them says that it is no article."""
+    """A run of text between block boundaries: its text, the paths of the elements around it, and whether one of them says that it is no article, for certain or by a name."""
 
     text: str
     paths: tuple[int, ...]
     dropped: bool
+    named: bool
     inside: bool
 
 
@@ -67,6 +68,7 @@ class _Open:
     tag: str
     path: int
     dropped: bool
+    named: bool
     landmark: bool
     plain: bool
 
@@ -75,13 +77,14 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _named(attrs: str) -> tuple[str, bool]:
-    """An element's style name from its classes and id, and whether it says that it is no article."""
+def _named(attrs: str) -> tuple[str, bool, bool]:
+    """An element's style name from its classes and id, and whether it says that it is no article: by a whole class or id (but for a number at its end), by role or as hidden."""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    said = set(_NAME.findall(names)) & DROPPED_NAMES or found.get("role", "").lower() in DROPPED_ROLES
+    named = not DROPPED_NAMES.isdisjoint(_NUMBER.sub("", x) for x in names.split())
+    said = found.get("role", "").lower() in DROPPED_ROLES
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return f"{'.'.join(sorted(found.get('class', '').lower().split()))}#{re.sub(r'[0-9]+', '0', found.get('id', ''))}", bool(said or hidden)
+    return f"{'.'.join(sorted(found.get('class', '').lower().split()))}#{re.sub(r'[0-9]+', '0', found.get('id', ''))}", named, bool(said or hidden)
 
 
 def parse(html: str | None) -> tuple[list[Block], dict[int, list[str]]]:
@@ -89,9 +92,9 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, list[str]]]:
     html = html or ""
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
-    stack = [_Open("", 0, False, False, False)]
+    stack = [_Open("", 0, False, False, False, False)]
     held: list[str] = []
-    seen: dict[str, tuple[str, bool]] = {}
+    seen: dict[str, tuple[str, bool, bool]] = {}
 
     def flush() -> None:
         if held:
@@ -99,7 +102,7 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, list[str]]]:
             held.clear()
             if text:
                 mark = next((k for k, e in enumerate(stack) if e.landmark), 0)
-                blocks.append(Block(text, tuple(e.path for e in stack[mark + 1 :] if not e.plain), stack[-1].dropped, bool(mark)))
+                blocks.append(Block(text, tuple(e.path for e in stack[mark + 1 :] if not e.plain), stack[-1].dropped, stack[-1].named, bool(mark)))
 
     def close(k: int) -> None:
         if any(e.tag not in INLINE for e in stack[k:]):
@@ -137,15 +140,16 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, list[str]]]:
             continue
         attrs = m["attrs"]
         if attrs not in seen:
-            seen[attrs] = _named(attrs) if attrs else ("#", False)
-        name, said = seen[attrs]
+            seen[attrs] = _named(attrs) if attrs else ("#", False, False)
+        name, named, said = seen[attrs]
+        named = named and tag not in LANDMARKS | PAGE_TAGS  # "has-sidebar", "menu": these tell of what else is on the page
         up = stack[-1]
         inside = any(e.landmark for e in stack)
         said = said or tag in DROPPED_TAGS or (tag == "header" and not inside)
         style = f"{tag}.{name}"
         children.setdefault(up.path, []).append(style)
         path = _hash(f"{up.path}/{style}")
-        stack.append(_Open(tag, path, up.dropped or said, tag in LANDMARKS, tag in LANDMARKS | PAGE_TAGS or (tag in TEXT_TAGS and name == "#")))
+        stack.append(_Open(tag, path, up.dropped or said, up.named or named, tag in LANDMARKS, tag in LANDMARKS | PAGE_TAGS or (tag in TEXT_TAGS and name == "#")))
     held.append(html[at:])
     flush()
     return blocks, children
@@ -164,10 +168,12 @@ def features(html: str | None) -> list[tuple[int, int, int]]:
 def extract(html: str | None, unimportant: frozenset[int]) -> str:
     """A page's main text: its blocks that no unimportant path holds and that do not say to be something else, within the article if one is marked.
 
-    A page that would be left with nothing, like one that its host has many times, keeps its unimportant blocks.
+    A page that would be left with nothing, like one that its host has many times, keeps its unimportant blocks,
+    and one whose blocks all have a name that says so keeps these.
     """
     blocks, _ = parse(html)
-    kept = [b for b in blocks if not b.dropped]
+    certain = [b for b in blocks if not b.dropped]
+    kept = [b for b in certain if not b.named] or certain
     marked = [b for b in kept if b.inside] or kept
     important = [b for b in marked if unimportant.isdisjoint(b.paths)]
     return "\n".join(b.text for b in important or marked)

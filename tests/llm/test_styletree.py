@@ -28,6 +28,18 @@ def test_pages_alone(html, text):
     assert styletree.extract(html, frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body class='single no-sidebar'><div class=ad>buy</div><p>x</p></body>", "x"), ("<body class=menu><p>x</p></body>", "x"),
+        ("<article class='post has-sidebar related'><div class='entry-header'><h1>T</h1></div><p>x</p></article>", "T\nx"), ("<main id=comments><p>x</p></main>", "x"),
+        ("<div class='content related-none'><p>x</p></div>", "x"), ("<div class=widget><p>all there is</p></div>", "all there is"), ("<div class=widget-3>w</div><p>x</p>", "x"),
+    ],
+)
+def test_names_of_the_page_drop_no_text(html, text):
+    assert styletree.extract(html, frozenset()) == text
+
+
 def test_deep_and_long_pages():
     assert styletree.extract("<div>" * 3000 + "x" + "</div>" * 3000, frozenset()) == "x"
     assert len(styletree.extract(page("<p>" + "word " * 200_000 + "</p>"), frozenset())) == 999_999
