@@ -55,13 +55,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def connect_groups(grouped: DataFrame, linked: Callable[[DataFrame], DataFrame], hubs: int = 2) -> DataFrame:
+def connect_groups(grouped: DataFrame, linked: Callable[[DataFrame], DataFrame], hubs: int = 2, edges: DataFrame | None = None) -> DataFrame:
     """(node, root) of the components that pairs of nodes under one key make, where ``linked`` keeps the linked ones of pairs (a, b), a < b.
 
     ``grouped`` has (node, key), distinct, as a written table. The components are those of all pairs, with fewer tried: in each of ``hubs`` rounds
     the members of a key are tried against one of them; then all pairs that are still in different components. Pairs within a component change nothing.
+    ``edges`` (a, b): links that are known already, of these nodes or others.
     """
-    edges = tried = roots = None
+    tried, roots = None, None if edges is None else materialize(connected_components(edges), "roots")
     for k in range(hubs + 1):
         rows = grouped.withColumn("root", F.col("node")) if roots is None else grouped.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         hub = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64(F.lit(k), "key", "node").alias("h"), "node", "root")).alias("hub"))
@@ -74,6 +75,6 @@ def connect_groups(grouped: DataFrame, linked: Callable[[DataFrame], DataFrame],
         pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = materialize(linked(pairs), "links")
-        edges, tried = (found, pairs) if edges is None else (edges.union(found), tried.union(pairs))
+        edges, tried = found if edges is None else edges.union(found), pairs if tried is None else tried.union(pairs)
         roots = materialize(connected_components(edges), "roots")
     return roots
