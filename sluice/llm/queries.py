@@ -64,7 +64,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=3, similarity=0.8)
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), similarity=0.8)
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
