@@ -77,4 +77,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB's SQL for the queries that it can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_prefix_targets": r"""
+        WITH given AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce("text", '') AS said FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), escaped AS (
+            SELECT *, regexp_replace(said, '(\\|###|</turn>)', '\\\1', 'g') AS body, regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g') AS head FROM given
+        ), placed AS (
+            SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+                sum(length(head) + length(body) + 14) OVER (w ROWS UNBOUNDED PRECEDING) AS stop
+            FROM escaped WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body)
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY place)) AS turns_sha256,
+            coalesce(sum(length(said)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(said, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            coalesce(sum(stop) FILTER (role = 'assistant' OR place = n), 0)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR place = n) AS n_examples
+        FROM placed GROUP BY conv_id
+    """,
+    "op10_exact_top_k": """
+        WITH good AS (
+            SELECT vec_id::BIGINT AS vec_id, embedding FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+            SELECT vec_id, unnest(range(len(embedding))) AS place, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM good
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+            FROM parts q JOIN parts c ON q.place = c.place AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5
+    """,
+}

@@ -8,6 +8,7 @@ compacted away before the next block. Scores are exact integers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,34 @@ from sluice.cluster import materialize
 QUERY_ROWS = 4096
 #: Candidates of one step: bounds a task's memory.
 CHUNK_ROWS = 8192
-#: Above this, sums of products are not exact in double precision; such vectors take whole numbers of any size.
+#: Below this, sums of products are exact in double precision.
 _EXACT = float(1 << 53)
+SCALE = 256
 
 
-def quantise(vectors: list, scale: int = 256) -> list[np.ndarray]:
-    """floor(scale * x) of each component, as doubles with whole values."""
-    return [np.floor(scale * np.asarray(v, dtype=np.float64)) for v in vectors]
+def whole(x: float) -> int:
+    """floor(256 x) of a finite number, of any size."""
+    return int(x) * SCALE if abs(x) >= _EXACT else math.floor(SCALE * x)
+
+
+def beyond(score: int) -> str:
+    """A text that orders scores as their numbers do, for those about as large as a long and beyond; empty for others."""
+    if abs(score) < 1 << 62:
+        return ""
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):06d}{digits}"
+    return f"{999_999 - len(digits):06d}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
+
+
+def small(vector, width: int) -> bool:
+    """Whether inner products of such vectors of ``width`` components are exact in doubles."""
+    return not len(vector) or float(np.abs(vector).max()) * SCALE + 1 <= math.sqrt(_EXACT / max(1, width))
+
+
+def quantise(vectors: list) -> list[np.ndarray]:
+    """floor(256 x) of each component, as doubles with whole values, for small vectors."""
+    return [np.floor(SCALE * np.asarray(v, dtype=np.float64)) for v in vectors]
 
 
 def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
@@ -39,10 +61,10 @@ def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) per query: greater scores first, then lesser ids."""
+    """The k best (score, id) per query: greater scores first, then lesser ids. Counts the products of components that were made for them."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.found = k, [[] for _ in range(n)]
+        self.k, self.found, self.products = k, [[] for _ in range(n)], 0
         self.floor = np.full(n, -np.inf)
 
     def add(self, q: int, scores: list[int], ids: list[int]) -> None:
@@ -51,48 +73,49 @@ class Best:
             self.floor[q] = float(-self.found[q][-1][0])
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best, block: int = 16) -> None:
-    """Add the best of these candidates to ``best``, exactly. All components are whole numbers."""
+def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best, places: np.ndarray | None = None, block: int = 8) -> None:
+    """Add the best of these candidates to ``best``, exactly; ``places``: of the queries in it. All components are whole numbers and small.
+
+    After each block of dimensions a candidate's score lies within the product of both remaining norms of what it has so far. The k-th greatest of the
+    lower ends, or the k-th best score found before, is a floor: candidates whose upper end is below it are compacted away.
+    """
     if not len(queries) or not len(vectors):
         return
-    width = max(queries.shape[1], 1)
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * width
-    if largest >= _EXACT:
-        return _search_large(queries, query_ids, vectors, ids, best)
-    columns = np.ascontiguousarray(vectors.T)
-    starts = list(range(0, width, block))
-    # norms of what follows after each block
+    places = np.arange(len(queries)) if places is None else places
+    # the dimensions in which the candidates have most of their mass stand first, so that little remains soon
+    order = np.argsort(-(vectors**2).sum(axis=0), kind="stable")
+    queries, columns = queries[:, order], np.ascontiguousarray(vectors[:, order].T)
+    starts = list(range(0, max(queries.shape[1], 1), block))
     rest_q = np.sqrt(np.stack([(queries[:, s + block :] ** 2).sum(axis=1) for s in starts]))
     rest_v = np.sqrt(np.stack([(columns[s + block :] ** 2).sum(axis=0) for s in starts]))
-    first = queries[:, : starts[0] + block] @ columns[: starts[0] + block]
+    k = best.k
     for q in range(len(queries)):
-        alive, part = np.flatnonzero(ids != query_ids[q]), None
-        part = first[q, alive]
+        alive, part, place = np.flatnonzero(ids != query_ids[q]), 0.0, places[q]
+        part = np.zeros(len(alive))
         for b, s in enumerate(starts):
-            if b:
-                part = part + queries[q, s : s + block] @ columns[s : s + block, alive]
-            if np.isfinite(best.floor[q]):
-                reach = part + rest_q[b, q] * rest_v[b, alive] * (1 + 1e-9) + 1e-6
-                keep = reach >= best.floor[q]
-                if not keep.all():
-                    alive, part = alive[keep], part[keep]
+            part = part + queries[q, s : s + block] @ (columns[s : s + block] if len(alive) == len(ids) else columns[s : s + block, alive])
+            best.products += len(alive) * min(block, queries.shape[1] - s)
+            room = rest_q[b, q] * rest_v[b, alive] * (1 + 1e-9) + 1e-6
+            floor = best.floor[place]
+            if len(alive) >= k:
+                floor = max(floor, np.partition(part - room, len(part) - k)[len(part) - k])
+            keep = part + room >= floor
+            if not keep.all():
+                alive, part = alive[keep], part[keep]
             if not len(alive):
                 break
         if len(alive):
-            if len(alive) > best.k:  # the k best, and all that tie with the last of them
-                least = np.partition(part, len(part) - best.k)[len(part) - best.k]
-                keep = part >= least
+            if len(alive) > k:  # the k best, and all that tie with the last of them
+                keep = part >= np.partition(part, len(part) - k)[len(part) - k]
                 alive, part = alive[keep], part[keep]
-            best.add(q, [int(x) for x in part], [int(x) for x in ids[alive]])
+            best.add(place, [int(round(x)) for x in part], [int(x) for x in ids[alive]])
 
 
-def _search_large(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best) -> None:
+def search_large(queries: list[list[int]], query_ids: list[int], places: list[int], vectors: list[list[int]], ids: list[int], best: Best) -> None:
     """The same for components so large that doubles lose digits: Python's integers, one pair at a time."""
-    whole = [[int(x) for x in v] for v in vectors]
-    for q, row in enumerate(queries):
-        row = [int(x) for x in row]
-        others = [i for i in range(len(whole)) if ids[i] != query_ids[q]]
-        best.add(q, [sum(a * b for a, b in zip(row, whole[i], strict=True)) for i in others], [int(ids[i]) for i in others])
+    for row, own, place in zip(queries, query_ids, places, strict=True):
+        others = [i for i in range(len(vectors)) if ids[i] != own]
+        best.add(place, [sum(a * b for a, b in zip(row, vectors[i], strict=False)) for i in others], [int(ids[i]) for i in others])
 
 
 def _block_search(candidates: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], k: int) -> DataFrame:
@@ -101,18 +124,33 @@ def _block_search(candidates: DataFrame, ids: np.ndarray, vectors: list[np.ndarr
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, rows = shared.value
-        best = Best(len(rows), k)
+        best, every = Best(len(rows), k), list(range(len(rows)))
+        wholes: dict[int, list[int]] = {}
+
+        def exact(places: list[int]) -> list[list[int]]:
+            wholes.update((i, [whole(x) for x in rows[i]]) for i in places if i not in wholes)
+            return [wholes[i] for i in places]
+
         for batch in batches:
             for s in range(0, len(batch), CHUNK_ROWS):
                 part = batch.iloc[s : s + CHUNK_ROWS]
-                found = quantise(part["embedding"].tolist())
+                found, found_ids = part["embedding"].tolist(), part["vec_id"].to_numpy(dtype=np.int64)
                 width = max([len(v) for v in [*found, *rows]], default=0)
-                search(_matrix(rows, width), query_ids, _matrix(found, width), part["vec_id"].to_numpy(dtype=np.int64), best)
+                fits, fits_q = np.array([small(v, width) for v in found], dtype=bool), [i for i in every if small(rows[i], width)]
+                odd_q, odd = [i for i in every if i not in set(fits_q)] if len(fits_q) < len(rows) else [], np.flatnonzero(~fits)
+                take = np.flatnonzero(fits)
+                search(_matrix(quantise([rows[i] for i in fits_q]), width), query_ids[fits_q], _matrix(quantise([found[i] for i in take]), width), found_ids[take], best, np.array(fits_q, dtype=int))
+                # only pairs with a large vector are multiplied one by one
+                if len(odd):
+                    large = [[whole(x) for x in found[i]] for i in odd]
+                    search_large(exact(fits_q), [int(query_ids[i]) for i in fits_q], fits_q, large, [int(found_ids[i]) for i in odd], best)
+                if odd_q:
+                    search_large(exact(odd_q), [int(query_ids[i]) for i in odd_q], odd_q, [[whole(x) for x in v] for v in found], [int(i) for i in found_ids], best)
         top = 2**63 - 1
-        out = [(q, int(query_ids[q]), i, max(-top - 1, min(top, -s))) for q, f in enumerate(best.found) for s, i in f]
-        yield pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
+        out = [(q, int(query_ids[q]), i, max(-top - 1, min(top, -s)), beyond(-s)) for q, f in enumerate(best.found) for s, i in f]
+        yield pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score", "beyond"])
 
-    return candidates.mapInPandas(of, "query long, query_id long, vec_id long, score long")
+    return candidates.mapInPandas(of, "query long, query_id long, vec_id long, score long, beyond string")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -124,7 +162,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     that repeat a query's id are queries of their own with results of their own; repeated candidates
     are found as often as they stand there. Scores beyond a long are cut to its range, after ranking.
 
-    Queries go to all candidates in blocks of QUERY_ROWS, one pass over the candidates for each.
+    Columns of any other names are not read. An empty table gives an empty result. Queries go to all candidates in blocks of QUERY_ROWS, one pass over the candidates for each.
     """
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).filter(F.coalesce(good, F.lit(False)))
@@ -134,10 +172,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
     found = []
     for b in range(blocks):
         taken = queries.filter(home == b).toPandas().sort_values("vec_id", kind="stable")
-        part = _block_search(rows, taken["vec_id"].to_numpy(dtype=np.int64), quantise(taken["embedding"].tolist()), k).withColumn("block", F.lit(b))
+        part = _block_search(rows, taken["vec_id"].to_numpy(dtype=np.int64), taken["embedding"].tolist(), k).withColumn("block", F.lit(b))
         found.append(materialize(part, "nearest") if blocks > 1 else part)
     all_found = found[0]
     for part in found[1:]:
         all_found = all_found.union(part)
-    order = Window.partitionBy("block", "query", "query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("block", "query", "query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return all_found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from sluice.cluster import materialize
-from sluice.llm import decontaminate, mixing, queries, simhash, tokens, toxicity
+from sluice.llm import decontaminate, mixing, queries, shingles, simhash, tokens, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,8 @@ def test_toxic_documents_go(spark, sf, stages):
 
 def test_one_of_each_group_of_copies_stays(stages):
     rows = stages["toxicity"].collect()
-    prints = [simhash.fingerprint(r.text) for r in rows]
+    prints, sets = [simhash.fingerprint(r.text) for r in rows], [frozenset(shingles.shingle_set(r.text).tolist()) for r in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     up = list(range(len(rows)))
 
     def root(i):
@@ -46,7 +47,7 @@ def test_one_of_each_group_of_copies_stays(stages):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or alike(sets[i], sets[j]):
                 up[root(i)] = root(j)
     least = {}
     for i, r in enumerate(rows):

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -50,21 +51,39 @@ def test_repeated_queries_are_answered_each(spark):
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == [(0, 1, 3, 65536), (0, 1, 3, 131072)]
 
 
-def test_huge_components_are_exact():
-    q = np.array([[2.0**70, 1.0]])
-    v = np.array([[2.0**70, 5.0], [2.0**70, 6.0], [-(2.0**70), 0.0]])
-    best = topk.Best(1, 2)
-    topk.search(q, np.array([9]), v, np.array([1, 2, 3]), best)
-    assert best.found[0] == [(-(2**140 + 6), 2), (-(2**140 + 5), 1)]
+def test_huge_components_are_exact(spark):
+    rows = [(0, [2.0**70, 1.0]), (50, [0.5, 1.0]), (1, [2.0**70, 5.0]), (2, [2.0**70, 6.0]), (3, [-(2.0**70), 0.0]), (4, [1e307, -1e307]), (5, [1.0, 2.0]), (6, [1e307, 1e308])]
+    want = sorted((i, n, j, max(-(2**63), min(2**63 - 1, s))) for i, n, j, s in slow_large(rows))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4)
+    assert sorted(tuple(r) for r in got.collect()) == want
 
 
-def test_bounds_leave_candidates_out():
-    """The branch and bound has the same result for any block size, with much fewer products."""
+def slow_large(rows, k=4, every=50):
+    whole = [(i, [int(Fraction(x) * 256 // 1) for x in v]) for i, v in rows]
+    out = []
+    for i, v in whole:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i)[:k]
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 8, 64])
+def test_bounds_leave_candidates_out(block):
+    """Within the first chunk already, with the same result for any block size."""
     rng = np.random.default_rng(1)
-    v = np.floor(32 * rng.normal(size=(3000, 64)))
-    want = None
-    for block in (1, 16, 64):
-        best = topk.Best(4, 5)
-        topk.search(v[:4], np.arange(4), v, np.arange(3000), best, block)
-        want = want or best.found
-        assert best.found == want
+    v = np.floor(256 * rng.normal(size=(3000, 64)) * np.exp(-np.arange(64) / 16))
+    best = topk.Best(4, 5)
+    topk.search(v[:4], np.arange(4), v, np.arange(3000), best, block=block)
+    scores = (v[:4] @ v.T).astype(int)
+    assert best.found == [sorted((-int(scores[q, i]), i) for i in range(3000) if i != q)[:5] for q in range(4)]
+    assert block == 64 or best.products < 0.7 * 4 * 2999 * 64
+
+
+def test_bounds_save_products_on_the_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    v, ids = np.stack(topk.quantise([r.embedding for r in rows])), np.array([r.vec_id for r in rows])
+    take = ids % 50 == 0
+    best = topk.Best(int(take.sum()), 5)
+    topk.search(v[take], ids[take], v, ids, best)
+    assert best.products < 0.95 * take.sum() * (len(v) - 1) * v.shape[1]
