@@ -64,7 +64,7 @@ class Session:
         parts = name.split(".")
         if not all(re.fullmatch(r"[\w-]+", p) for p in parts):
             raise ValueError(f"{name!r} is no table name")
-        if len(parts) > 1 and self.files.exists(f"{self.root}/{parts[0]}") and not self.files.exists(f"{self.root}/{self.active}/{parts[0]}/_current"):
+        if len(parts) > 1 and self.files.exists(f"{self.root}/{parts[0]}") and not self.files.exists(f"{self.root}/{self.active}/{parts[0]}/_log"):
             return f"{self.root}/{'/'.join(parts)}"
         return f"{self.root}/{self.active}/{'/'.join(parts)}"
 
@@ -132,9 +132,9 @@ class Session:
 
         def walk(at: str, name: str) -> None:
             for f in self.files.folders(at):
-                if not re.fullmatch(r"v\d{8}", f):
+                if not (f.startswith("v-") or f == "_log"):
                     full = f"{name}.{f}" if name else f
-                    if self.files.exists(f"{at}/{f}/_current"):
+                    if self.files.exists(f"{at}/{f}/_log"):
                         out.append(full)
                     walk(f"{at}/{f}", full)
 
@@ -238,7 +238,7 @@ class Session:
 
     def _info(self, m) -> DataFrame:
         t = self.table(_bare(m["name"]))
-        return self.spark.createDataFrame([(t.location, t.version(), t.count(), len(t.schema), self.files.size(f"{t.location}/v{t.version():08d}"))], "location string, version long, rows long, columns long, bytes long")
+        return self.spark.createDataFrame([(t.location, t.version(), t.count(), len(t.schema), t.bytes())], "location string, version long, rows long, columns long, bytes long")
 
 
 def _bare(name: str) -> str:

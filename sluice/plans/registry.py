@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sqlite3
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from sluice.cluster import shared_path
 from sluice.functions import scalars
 from sluice.functions import sql as sql_functions
 from sluice.operators import mutations, search
-from sluice.operators.tables import Table
+from sluice.operators.session import Session
+from sluice.operators.tables import Files, Table
 from sluice.plans.pipe import compile_pipe, condition, expression
 from sluice.sources import readers, writers
 
@@ -184,6 +187,89 @@ def select_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT p_brand, count(*) AS n FROM sluice_part WHERE p_size > 10 GROUP BY p_brand HAVING count(*) > 5")
 
 
+# statements
+
+def statements(name: str, oracle: str, names: str, *texts: str) -> None:
+    """A query that runs these statements one after another in a session of its own with copies of tables, and returns what the last one gives."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Session(spark, shared_path(spark, "db"))
+        for n in names.split():
+            db.table(n).overwrite(tables(spark, sf_dir)(n))
+        for t in texts[:-1]:
+            db.query(t)
+        return db.query(texts[-1])
+
+    QUERIES[name], ORACLE_SQL[name] = run, oracle
+
+
+_BRANDS = "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_brand HAVING count(*) > 5"
+_NATIONS = "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+statements("st_select", _BRANDS, "part", _BRANDS)
+statements("st_select_join", _NATIONS, "customer nation", _NATIONS)
+statements("st_pipe", "SELECT r_name FROM region WHERE r_regionkey > 1", "region", "FROM region | WHERE r_regionkey > 1 | SELECT r_name")
+statements("st_create_insert", "SELECT 1::BIGINT AS id, 'a' AS name UNION ALL SELECT 2, concat('it', chr(39), 's') UNION ALL SELECT 3, NULL", "", "CREATE TABLE t (id bigint, name text)", "INSERT INTO t VALUES (1, 'a')", "INSERT INTO t VALUES (2, 'it''s'), (3, NULL)", "SELECT id, name FROM t")
+statements("st_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer", "customer", "UPDATE customer SET c_acctbal = 0 WHERE c_acctbal < 0", "SELECT c_custkey, c_acctbal FROM customer")
+statements("st_delete", "SELECT p_partkey FROM part WHERE p_size <= 25", "part", "DELETE FROM part WHERE p_size > 25", "SELECT p_partkey FROM part")
+statements("st_truncate", "SELECT r_name FROM region WHERE false", "region", "TRUNCATE TABLE region", "SELECT r_name FROM region")
+statements("st_alter", "SELECT r_regionkey, r_name AS title, 'new' AS tier FROM region", "region", "ALTER TABLE region ADD COLUMN tier text DEFAULT 'new'", "ALTER TABLE region RENAME COLUMN r_name TO title", "SELECT * FROM region")
+statements("st_drop_column", "SELECT n_nationkey, n_name FROM nation", "nation", "ALTER TABLE nation DROP COLUMN n_regionkey", "SELECT * FROM nation")
+statements("st_rename_table", "SELECT r_regionkey, r_name FROM region", "region", "RENAME TABLE region TO zone", "SELECT r_regionkey, r_name FROM zone")
+statements("st_databases", "SELECT r_regionkey FROM region", "region", "CREATE DATABASE other", "USE other", "CREATE TABLE t (id int)", "USE default", "DROP DATABASE other", "SELECT r_regionkey FROM region")
+statements("st_optimize", "SELECT o_orderkey FROM orders", "orders", "OPTIMIZE orders", "SELECT o_orderkey FROM orders")
+
+
+@query("SELECT 'nation' AS name, count(*) AS n FROM nation")
+def st_show_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that are left after one is dropped, with their numbers of rows."""
+    db = Session(spark, shared_path(spark, "db"))
+    for n in ("nation", "region"):
+        db.table(n).overwrite(tables(spark, sf_dir)(n))
+    db.query("DROP TABLE region")
+    return db.query("SHOW TABLES").select(F.col("table").alias("name"), F.col("rows").alias("n"))
+
+
+@query("SELECT p_partkey, p_size::BIGINT AS p_size FROM part WHERE p_size > 40")
+def sqlite_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SQLite file, read in ranges of row ids. It is made here from a small table; it needs a shared folder that is a local one."""
+    rows = tables(spark, sf_dir)("part").select("p_partkey", "p_size").filter("p_size > 40").toLocalIterator()
+    place = shared_path(spark, "part.db")
+    Files(spark).make(place.rpartition("/")[0])
+    path = Files(spark).path(place).toUri().getPath()
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE part (p_partkey INTEGER, p_size INTEGER)")
+    db.executemany("INSERT INTO part VALUES (?, ?)", (tuple(r) for r in rows))
+    db.commit()
+    db.close()
+    return readers.import_file(spark, path, table="part")
+
+
+@query("SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region")
+def cursor_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a DB-API cursor."""
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE region (r_regionkey INTEGER, r_name TEXT)")
+    db.executemany("INSERT INTO region VALUES (?, ?)", [tuple(r) for r in tables(spark, sf_dir)("region").select("r_regionkey", "r_name").collect()])
+    return readers.read_cursor(spark, db.execute("SELECT * FROM region"))
+
+
+@query("SELECT 160 AS n, 3 AS changed")
+def table_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writers of one table at once: no row and no change is lost."""
+    place = shared_path(spark, "table")
+    Table(spark, place).overwrite(spark.range(100).selectExpr("id", "0L AS v"))
+
+    def writer(w: int) -> None:
+        t = Table(spark, place)
+        for k in range(4):
+            t.insert(spark.range(5).selectExpr(f"1000 * {w} + 10 * {k} + id AS id", "0L AS v"))
+        t.update({"v": F.col("v") + 1}, F.col("id") == 0)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(writer, (1, 2, 3)))
+    return Table(spark, place).df().agg(F.count("*").cast("int").alias("n"), F.max("v").cast("int").alias("changed"))
+
+
 # searches
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%bolt%' OR p_brand ILIKE '%bolt%' OR p_type ILIKE '%bolt%'")
@@ -270,20 +356,16 @@ def _round_trip(kind: str) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = tables(spark, sf_dir)("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
         path = shared_path(spark, f"export.{kind}")
-        writers.export(rows, path, kind, "customer")
-        read = {"csv": readers.read_csv, "json": readers.read_json, "jsonl": readers.read_jsonl, "sql": readers.read_sql_dump}[kind]
-        if kind == "sql":
-            back = read(spark, path, rows.schema)
-        else:
-            back = read(spark, path, schema=rows.schema)
-        return back.select(*rows.columns)
+        said = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("a \"b\", 'c'\n"), "c_name", F.lit("\nz"))).otherwise(F.col("c_name"))
+        writers.export(rows.withColumn("c_name", said), path, table="customer")
+        return readers.import_file(spark, path)
 
     return run
 
 
 for _kind in ("csv", "json", "jsonl", "sql"):
     QUERIES[f"round_trip_{_kind}"] = _round_trip(_kind)
-    ORACLE_SQL[f"round_trip_{_kind}"] = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"
+    ORACLE_SQL[f"round_trip_{_kind}"] = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN concat('a \"b\", ', chr(39), 'c', chr(39), chr(10), c_name, chr(10), 'z') ELSE c_name END AS c_name, c_acctbal, c_mktsegment FROM customer"
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN NULL ELSE event_id END AS whole, event_id % 4 = 2 AS flag FROM events")

@@ -67,13 +67,23 @@ def _utf8(spark: SparkSession, path: str, encoding: str) -> str:
     return out
 
 
+def _spans_lines(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether quoted values hold line feeds, so that a file has to be read whole: lines that open a quote, and as many that close one. Stray quotes are neither."""
+    line, d = F.col("value"), re.escape(delimiter)
+    odd = spark.read.text(path).filter((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1)
+    opens, closes = line.rlike(rf'(^|{d})"([^"]|"")*$'), line.rlike(rf'^([^"]|"")*"({d}|\r?$)')
+    found = odd.agg(F.count("*").alias("n"), F.count_if(opens).alias("a"), F.count_if(closes).alias("b"), F.count_if(opens | closes).alias("c")).first()
+    n = found["n"]
+    return n > 0 and n % 2 == 0 and found["c"] == n and min(found["a"], found["b"]) >= n // 2
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Rows of CSV files: short rows are filled with nulls, long ones cut, blank ones skipped, NUL bytes taken out; bad cells are null. Without an encoding, the first file's bytes tell it."""
     encoding = (encoding or sniff_encoding(Files(spark).head(path, HEAD_BYTES))).lower()
     if encoding not in SPARK_ENCODINGS:
         path, encoding = _utf8(spark, path, encoding), "utf-8"
     encoding = "iso-8859-1" if encoding == "latin-1" else encoding
-    raw = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False, enforceSchema=True)
+    raw = spark.read.csv(path, header=header, sep=delimiter, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False, enforceSchema=True, multiLine=encoding.startswith("utf-8") and _spans_lines(spark, path, delimiter))
     names = [c.lstrip("\ufeff").replace("\x00", "") for c in raw.columns]
     if schema is not None and len(schema) == len(names):
         names = schema.names
@@ -125,70 +135,97 @@ _UNESCAPE = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "Z": "\x1a"}
 _NO_COLUMN = {"primary", "key", "unique", "index", "constraint", "foreign", "check", "fulltext", "spatial"}
 
 
-def dump_schema(text: str) -> list[tuple[str, str]]:
-    """(column, type) of the first CREATE TABLE of a dump; empty if there is none."""
-    m = _CREATE.search(text)
-    if not m:
-        return []
-    depth, end, start, parts = 1, m.end(), m.end(), []
-    while end < len(text) and depth:
-        c = text[end]
-        depth += (c == "(") - (c == ")")
-        if depth == 1 and c == "," or not depth:
-            parts.append(text[start:end].strip())
-            start = end + 1
-        end += 1
-    out = []
-    for p in parts:
-        words = p.split(None, 1)
-        if len(words) == 2 and words[0].strip("`\"[]").lower() not in _NO_COLUMN:
-            out.append((words[0].strip("`\"[]"), DUMP_TYPES.get(re.match(r"\w*", words[1].lower())[0], "string")))
-    return out
-
-
-def dump_rows(text: str) -> Iterator[list[str | None]]:
-    """The rows of all INSERT and REPLACE statements, values as text; a row that is not closed is left out."""
-    for m in _INSERT.finditer(text):
-        at = m.end()
-        while at < len(text) and text[at] == "(":
-            row, at = [], at + 1
-            while True:
-                v = _VALUE.match(text, at)
-                if not v:
-                    row = None
-                    break
-                quoted, plain = v[1], (v[2] or "").strip()
-                row.append(re.sub(r"\\(.)|''", lambda x: _UNESCAPE.get(x[1], x[1]) if x[1] else "'", quoted, flags=re.S) if quoted is not None else None if plain.upper() == "NULL" else plain)
-                at = v.end()
-                if at >= len(text) or text[at] not in ",)":
-                    row = None
-                    break
-                at += 1
-                if text[at - 1] == ")":
-                    break
-            if row is None:
-                break
-            yield row
-            at = re.compile(r"\s*,?\s*").match(text, at).end()
-
-
-def read_sql_dump(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Rows of a dump's INSERT statements, typed by its CREATE TABLE, or by the values without one. Short rows that only repeat the start of the next one are left out.
-
+def dump_schemas(text: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(table, its (column, type) pairs) of each CREATE TABLE of a dump, in order."""
+    found = []
+    for m in _CREATE.finditer(text):
+        depth, end, start, parts = 1, m.end(), m.end(), []
+        while end < len(text) and depth:
+            c = text[end]
+            depth += (c == "(") - (c == ")")
+            if depth == 1 and c == "," or not depth:
+                parts.append(text[start:end].strip())
+                start = end + 1
+            end += 1
+        out = []
+        for p in parts:
+            words = p.split(None, 1)
+            if len(words) == 2 and words[0].strip("`\"[]").lower() not in _NO_COLUMN:
+                out.append((words[0].strip("`\"[]"), DUMP_TYPES.get(re.match(r"\w*", words[1].lower())[0], "string")))
+        found.append((m[1], out))
+    return found
+
+
+def _tuple(text: str, at: int) -> tuple[list[str | None] | None, int]:
+    """The values of a row that opens before ``at``, and where it ends; None for a row that is not closed."""
+    row = []
+    while v := _VALUE.match(text, at):
+        quoted, plain = v[1], (v[2] or "").strip()
+        row.append(re.sub(r"\\(.)|''", lambda x: _UNESCAPE.get(x[1], x[1]) if x[1] else "'", quoted, flags=re.S) if quoted is not None else None if plain.upper() == "NULL" else plain)
+        at = v.end()
+        if at >= len(text) or text[at] not in ",)":
+            break
+        at += 1
+        if text[at - 1] == ")":
+            return row, at
+    return None, at
+
+
+_NEXT, _OPEN, _LINE = re.compile(r"\s*,?\s*\("), re.compile(r"(?:\)\s*,|\n)\s*\("), re.compile(r"^[ \t]*\(", re.M)
+
+
+def dump_rows(text: str, table: str | None = None) -> Iterator[tuple[list[str] | None, list[str | None]]]:
+    """(columns, if they are named, and values as text) of the rows of all INSERT and REPLACE statements, of one table if it is named; of a text without any, of lines that open with a bracket.
+
+    A row that is not closed is left out, and those after it are read.
+    """
+    starts = list(_INSERT.finditer(text))
+    parts = [(m[1], m[2], m.end(), starts[k + 1].start() if k + 1 < len(starts) else len(text)) for k, m in enumerate(starts)]
+    if not starts and not _CREATE.search(text) and (m := _LINE.search(text)):
+        parts = [(table, None, m.start(), len(text))]
+    for name, columns, at, end in parts:
+        if table is not None and name.rpartition(".")[2].lower() != table.rpartition(".")[2].lower():
+            continue
+        named = [c.strip(" `\"[]\n\t") for c in columns.split(",")] if columns else None
+        m = _NEXT.match(text, at, end)
+        while m:
+            row, at = _tuple(text, m.end())
+            if row is not None:
+                yield named, row
+                m = _NEXT.match(text, at, end)
+            else:
+                m = _OPEN.search(text, m.end(), end)
+
+
+def read_sql_dump(spark: SparkSession, path: str, schema: T.StructType | None = None, table: str | None = None) -> DataFrame:
+    """Rows of one table of a dump, by its INSERT statements, typed by its CREATE TABLE in whichever file it stands, or by the values without one.
+
+    Without a name: the first table by name of those that are created, or all rows if none is. Short rows that only repeat the start of the next one are left out.
     A dump is no format that can be split: a file is read by one task.
     """
     texts = spark.read.text(path, wholetext=True)
-    if schema is None:
-        heads = texts.select(F.substring("value", 1, 1 << 20).alias("v")).limit(1).collect()
-        columns = dump_schema(heads[0].v) if heads else []
-        schema = T.StructType([T.StructField(c, scalars.TYPES[k]) for c, k in columns]) if columns else None
-    width = len(schema) if schema else None
+    if schema is None or table is None:
+
+        def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [(t, [c for c, _ in k], [x for _, x in k]) for text in batch["value"] for t, k in dump_schemas(text)]
+                yield pd.DataFrame(found, columns=["name", "columns", "kinds"])
+
+        created = texts.mapInPandas(heads, "name string, columns array<string>, kinds array<string>").distinct().orderBy("name").collect()  # a row for each CREATE TABLE
+        mine = [r for r in created if table is None or r["name"].lower() == table.lower()]
+        if mine:
+            table = table or mine[0]["name"]
+            schema = schema or T.StructType([T.StructField(c, scalars.TYPES[k]) for c, k in zip(mine[0]["columns"], mine[0]["kinds"], strict=True)])
+    names = [n.lower() for n in schema.names] if schema else None
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch["value"]:
                 rows, held = [], None
-                for row in dump_rows(text):
+                for columns, row in dump_rows(text, table):
+                    if names and columns and len(columns) == len(row):
+                        at = {c.lower(): v for c, v in zip(columns, row, strict=True)}
+                        row = [at.get(n) for n in names]
                     if held is not None and not (len(held) < len(row) and row[: len(held)] == held):
                         rows.append(held)
                     held = row
@@ -200,7 +237,7 @@ def read_sql_dump(spark: SparkSession, path: str, schema: T.StructType | None =
                 yield pd.DataFrame({"cells": pd.Series(rows, dtype=object)})
 
     cells = texts.mapInPandas(of, "cells array<string>")
-    if width is None:
+    if schema is None:
         width = cells.select(F.max(F.size("cells"))).first()[0] or 0
         named = cells.select(*[F.get("cells", F.lit(k)).alias(f"col_{k + 1}") for k in range(width)])
         return typed(named, infer_types(named))
@@ -291,3 +328,18 @@ def read_cursor(spark: SparkSession, cursor, chunk: int = 10_000) -> DataFrame:
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
+
+#: Kinds of files by the end of their name.
+EXTENSIONS = {"csv": "csv", "tsv": "tsv", "txt": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "sql": "sql", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite", "parquet": "parquet"}
+
+
+def import_file(spark: SparkSession, path: str, kind: str | None = None, **how) -> DataFrame:
+    """Rows of a file of any kind that there is a reader for, by name or by the end of the path; ``how`` goes to that reader."""
+    kind = (kind or path.rstrip("/").rpartition("/")[2].rpartition(".")[2]).lower().lstrip(".")
+    if kind not in EXTENSIONS:
+        raise ValueError(f"no reader for {kind or path}: one of {', '.join(EXTENSIONS)}")
+    read = {
+        "csv": read_csv, "tsv": lambda s, p, **h: read_csv(s, p, delimiter="\t", **h), "json": read_json, "jsonl": read_jsonl, "sql": read_sql_dump, "sqlite": read_sqlite,
+        "parquet": lambda s, p: s.read.parquet(p),
+    }
+    return read[EXTENSIONS[kind]](spark, path, **how)

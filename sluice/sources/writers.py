@@ -70,9 +70,9 @@ def write_sql(df: DataFrame, path: str, table: str) -> None:
     Files(df.sparkSession).write(f"{path}/00-create.sql", f"CREATE TABLE IF NOT EXISTS `{table}` ({columns});\n")
 
 
-def export(df: DataFrame, path: str, kind: str, table: str = "data") -> None:
-    """Write in any of FORMATS, by name."""
-    kind = kind.lower().lstrip(".")
+def export(df: DataFrame, path: str, kind: str | None = None, table: str = "data") -> None:
+    """Write in any of FORMATS, by name or by the end of the path."""
+    kind = (kind or path.rstrip("/").rpartition("/")[2].rpartition(".")[2]).lower().lstrip(".")
     if kind not in FORMATS:
         raise ValueError(f"format is one of {', '.join(FORMATS)}")
     {"csv": write_csv, "json": write_json, "jsonl": write_jsonl, "sql": lambda d, p: write_sql(d, p, table), "parquet": lambda d, p: d.write.mode("overwrite").parquet(p)}[kind](df, path)

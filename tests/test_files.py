@@ -118,3 +118,44 @@ def test_dirty_values(spark):
     assert [r[0] for r in got] == [42, 42, -3, None, None, None, 1000, None, None, None]
     assert got[1][1] == 42.9 and got[3][1] is None and got[8][2] is True and got[5][2] is False and got[4][2] is None
     assert got[9][3] is None and got[4][3] == ""
+
+
+def test_csv_keeps_line_feeds_and_stray_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb", 1.5), (2, 'say "x", y\n\nz', None), (3, "plain", 2.0)], "id long, t string, v double")
+    writers.export(df, f"{tmp_path}/x.csv")
+    back = readers.import_file(spark, f"{tmp_path}/x.csv")
+    assert back.schema.simpleString() == "struct<id:bigint,t:string,v:double>"
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
+    (tmp_path / "stray.csv").write_text('id,t\n1,a"b\n2,c\n3,d"e\n4,f\n')
+    assert readers.read_csv(spark, f"{tmp_path}/stray.csv").count() == 4
+
+
+def test_dumps_of_two_tables_and_broken_rows(spark, tmp_path):
+    (tmp_path / "two.sql").write_text(
+        "CREATE TABLE a (x int, s text);\nCREATE TABLE b (y text, z int);\nINSERT INTO b VALUES ('7', 8);\n"
+        "INSERT INTO a VALUES (1, 'one'), (2, 'two\n(3, 'three'), (4, 'four');\nINSERT INTO a (s, x) VALUES ('five', 5);\n"
+    )
+    a = readers.read_sql_dump(spark, f"{tmp_path}/two.sql")
+    assert a.schema.simpleString() == "struct<x:bigint,s:string>"
+    got = {tuple(r) for r in a.collect()}
+    assert {(1, "one"), (4, "four"), (5, "five")} <= got and not any(r[1] == "8" for r in got)
+    assert [tuple(r) for r in readers.read_sql_dump(spark, f"{tmp_path}/two.sql", table="b").collect()] == [("7", 8)]
+    (tmp_path / "raw.sql").write_text("(1, 'a'),\n(2, 'b')\n")
+    assert sorted(tuple(r) for r in readers.read_sql_dump(spark, f"{tmp_path}/raw.sql").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_short_ways_in(spark, tmp_path):
+    from sluice import api
+
+    db = api.connect(f"file://{tmp_path}/db", spark)
+    t = db.table("t")
+    t.insert([{"id": 1, "name": "Ada"}, {"id": 2, "name": "Bob"}])
+    for kind in ("csv", "json", "jsonl", "sql", "parquet"):
+        api.export_file(t, f"{tmp_path}/out.{kind}")
+        other = api.open_table(f"file://{tmp_path}/{kind}", spark)
+        assert api.import_file(other, f"{tmp_path}/out.{kind}") == 2
+        assert sorted(map(tuple, other.df().select("id", "name").collect())) == [(1, "Ada"), (2, "Bob")]
+    assert [r.id for r in api.find(t, name="Bob").collect()] == [2] and api.find(t).count() == 2
+    assert [r.id for r in api.search(t, "ADA").collect()] == [1]
+    with pytest.raises(ValueError):
+        api.import_file(t, "x.doc")

@@ -148,3 +148,38 @@ def test_vector_search(spark):
     assert q.vector_search("v", [1, 0], 3, metric="l2").pluck("id") == [1, 3, 2]
     with pytest.raises(ValueError):
         q.vector_search("v", [1, 0], metric="none")
+
+
+def test_concurrent_writers_lose_no_row(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+
+    from sluice.operators.tables import Table
+
+    place = f"file://{tmp_path}/t"
+    Table(spark, place).insert([{"id": 0, "v": 0}])
+
+    def writer(w):
+        t = Table(spark, place)
+        for k in range(4):
+            t.insert([{"id": 10 * w + k, "v": 0}])
+        t.update({"v": F.col("v") + 1}, F.col("id") == 0)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(writer, (1, 2, 3)))
+    got = rows(Table(spark, place).df())
+    assert got == sorted([(0, 3), *((10 * w + k, 0) for w in (1, 2, 3) for k in range(4))], key=repr)
+
+
+def test_insert_reads_and_rewrites_nothing(spark, tmp_path):
+    from sluice.operators.tables import Table
+
+    t = Table(spark, f"file://{tmp_path}/t")
+    t.insert([{"id": 1, "v": 2}])
+    before = set(t.df().inputFiles())
+    t.insert([{"id": 2}])
+    assert before < set(t.df().inputFiles()) and rows(t.df()) == [(1, 2), (2, None)]
+    assert t.batch_insert([{"id": k, "v": k} for k in range(3, 8)], size=2) == 5
+    t.optimize()
+    assert len(t.df().inputFiles()) == 1 and t.count() == 7
