@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages: each takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs."""
+"""A corpus pipeline of five stages: each takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+
+Rows with nulls in any column pass where no rule speaks against them; texts of any length are read whole; of rows that repeat an id one stays, null ids
+stay all; an empty table passes as an empty table; other columns stay as they are, whatever their names, up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from sluice.cluster import materialize
-from sluice.llm import decontaminate, mixing, queries, shingles, tokens, toxicity
+from sluice.llm import decontaminate, mixing, queries, shingles, tokens, toxicity, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7. The model is fitted on the corpus's labelled documents."""
+    """Documents whose toxicity score is below 0.7; a null text counts as an empty one. The model is fitted on the corpus's labelled documents."""
     corpus, labels = queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels")
-    scored = toxicity.score(docs, toxicity.train(corpus, labels, n=3, held_out=1), "text", "__toxicity")
-    return scored.filter("__toxicity < 0.7").drop("__toxicity")
+    into = unused(docs.columns, "toxicity")
+    scored = toxicity.score(docs, toxicity.train(corpus, labels, n=3, held_out=1), "text", into)
+    return scored.filter(F.col(into) < 0.7).drop(into)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +28,21 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def interleave_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture: the table's files and rows stand in that order."""
-    mixed = mixing.mix(docs, queries.TICKETS, rest=4, into="__position", in_block="__place")
-    return mixed.orderBy("__position", "__place").drop("__position", "__place")
+    position, place = unused(docs.columns, "position"), unused(docs.columns, "place")
+    return mixing.mix(docs, queries.TICKETS, rest=4, into=position, in_block=place).orderBy(position, place).drop(position, place)
 
 
 def write_token_planes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in plane files, in the order in which the documents' table stands, read back: doc_id, start, n_tokens, ids_crc32."""
     try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-        order = ["__file", "__row"]
+        placed = docs.select("doc_id", "text", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("part"), F.col("_metadata.row_index").alias("row"))
+        order = ["part", "row"]
     except AnalysisException:  # not a table in files: it has no order of its own
         placed, order = docs, ["doc_id"]
     return tokens.read_tokens(tokens.write_tokens(placed, queries.word_tokenizer(), order=order))

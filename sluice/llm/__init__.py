@@ -1 +1,13 @@
 """Operators for preparing training data at corpus scale. Nothing else in the library imports this package."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores after it as long as a column of that name, in any case, is there."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

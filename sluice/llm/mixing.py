@@ -62,9 +62,9 @@ def mix(docs: DataFrame, tickets: dict[str, int], rest: int = 1, source: str = "
     """All rows of ``docs`` with the position of their block in the mixture and their place in the block.
 
     ``tickets``: each source's share of a round, as whole numbers; ``rest``: that of all other sources and nulls together. Rows of a source
-    stand in an order that ``seed`` shuffles; ``block_rows`` of them make a block (the last one of a source may be short). Rows with the same
-    id, null ids too, keep an arbitrary order among themselves. An empty table gives an empty result. The two
-    new columns replace columns of these names.
+    stand in an order that ``seed`` shuffles; ``block_rows`` of them make a block (the last one of a source may be short). Rows that are equal in
+    all columns keep an arbitrary order among themselves. Texts of any length are moved, not looked at. An empty table gives an empty result. The two
+    new columns replace columns of these names; all others stay, whatever their names.
 
     A source may hold any share of the rows: it is numbered in buckets of its shuffled order, whose sizes are summed first.
     """
@@ -77,7 +77,9 @@ def mix(docs: DataFrame, tickets: dict[str, int], rest: int = 1, source: str = "
     listed = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
     place = F.array_position(listed, F.coalesce(F.col(source).cast("string"), F.lit("")))
     group = F.when(F.col(source).isNull() | (place == 0), F.lit(len(names))).otherwise((place - 1).cast("int"))
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    # the columns of docs travel in a struct, so that no name of theirs meets one of ours; rows that share an id stand apart by what else is in them
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    order = F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), whole)
 
     sized = docs.groupBy(group.alias("g")).count().collect()  # a row for each entry of tickets at most
     rows = {r["g"]: r["count"] for r in sized}
@@ -88,11 +90,11 @@ def mix(docs: DataFrame, tickets: dict[str, int], rest: int = 1, source: str = "
     if not kinds:
         return docs.withColumns({into: F.lit(0).cast("long"), in_block: F.lit(0).cast("long")}).limit(0)
 
-    numbered = docs.withColumns({"__g": group, "__h": order}).withColumn("__b", F.shiftrightunsigned(F.col("__h"), 64 - bits))
+    numbered = docs.select(whole.alias("doc"), group.alias("__g"), order.alias("__h"), F.shiftrightunsigned(order, 64 - bits).alias("__b"))
     sizes = docs.groupBy(group.alias("__g"), bucket.alias("__b")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("__g", "__b", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__h", doc_id)) - 1
+    rank = F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__h")) - 1
     numbered = numbered.withColumn("__rank", rank).join(sizes, ["__g", "__b"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
 
     share = F.element_at(F.array(*[F.lit(a).cast("long") for a in given]), F.col("__g") + 1)
@@ -105,5 +107,5 @@ def mix(docs: DataFrame, tickets: dict[str, int], rest: int = 1, source: str = "
     placed = numbered.join(table, ["__kind", "__g", "__j"])
     s = F.col("__s")
     placed = placed.withColumns({into: s["before"] + (F.col("__round") - s["first"]) * s["length"] + s["slot"], in_block: F.col("__rank") - F.col("__block") * block_rows})
-    kept = [c for c in docs.columns if c not in (into, in_block)]
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in (into, in_block)]
     return placed.select(*kept, into, in_block)

@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows are kept as they are: a repeated doc_id gives repeated rows. Null and empty texts have
     fingerprint 0 and link like any other. A null doc_id takes part in links, and is never a component's
     least id; a component of none but null ids has a null component_id. An empty table gives an empty
-    result. Other columns of ``docs``, whatever their names, are not read.
+    result. Texts of any length are read whole. Other columns of ``docs``, whatever their names, are not read.
     """
     prints = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(with_fingerprint(prints, "text", "fp", width, seed).select("doc_id", "fp"), "prints")
@@ -112,8 +112,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
 
 def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """keep_one for components that are found already: ``found`` has (doc_id, component_id)."""
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("__keep")).filter("__keep is not null").select("__keep")
-    kept = docs.join(first, F.col(doc_id) == F.col("__keep"), "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first())
-    one = kept.withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("keep")).filter("keep is not null").select("keep")
+    # the columns of docs travel in a struct, so that no name of theirs meets one of ours
+    moved = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[doc_id].alias("id"), docs[text].alias("body"))
+    kept = moved.join(first, F.col("id") == F.col("keep"), "left_semi")
+    order = Window.partitionBy("id").orderBy(F.col("body").asc_nulls_first(), F.xxhash64("doc"))
+    one = kept.withColumn("row", F.row_number().over(order)).filter("row = 1").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
     return one.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -92,3 +92,15 @@ def test_hard_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(docs(spark, [5, 5]), {"s0": 1})._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(k, "src0", 7, 8, 9, "x") for k in range(5)] + [(None, None, 7, 8, 9, "x")], "doc_id long, source string, __g int, __rank int, doc int, slot string")
+    got = mixing.mix(df, {"src0": 1})
+    assert got.columns == [*df.columns, "position", "place_in_block"]
+    assert sorted(map(tuple, got.select(*df.columns).collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_rows_of_one_id_have_places_of_their_own(spark):
+    df = spark.createDataFrame([(1, "src0", f"t{k}") for k in range(50)], "doc_id long, source string, text string")
+    assert sorted(r.position for r in mixing.mix(df, {"src0": 1}).collect()) == list(range(50))

@@ -121,3 +121,8 @@ def test_components_of_random_graphs(spark):
     touched = {v for a, b in edges if a != b for v in (a, b)}
     df = spark.createDataFrame(edges, "a long, b long").select(F.col("a"), F.col("b"))
     assert {r.node: r.root for r in connected_components(df).collect()} == {v: root(v) for v in touched}
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 8), (2, "a b c", 7, 8), (None, "x", 7, 8)], "doc_id long, text string, __row int, keep int")
+    assert sorted(map(tuple, simhash.keep_one(df).collect()), key=repr) == sorted([(1, "a b c", 7, 8), (None, "x", 7, 8)], key=repr)
