@@ -4,7 +4,7 @@ Words become symbols: insults and threats (with a weight), targets, negations, v
 Small transducers rewrite the symbols of a clause one after another; each is a finite automaton,
 and so is their composition, which is built state by state as texts need it. A clause's
 matches are its insults and threats with what the grammar says of them (aimed at someone, negated,
-reported), and a document is scored by its matches.
+reported). Clauses are scored by their matches, and a document by the scores of its clauses.
 
 Besides a few English words, the insults are learned: from the documents' labels come
 weights for words and for word beginnings, by how much more often toxic documents have them.
@@ -129,8 +129,11 @@ class Lexicon:
 _forward, _backward = Composition(*GRAMMAR), Composition(*BACKWARD)
 
 
-def matches(text: str | None, lexicon: Lexicon) -> list[tuple[str, str, float]]:
-    """(word, kind, weight) of all insults and threats of a whole text, clause by clause; kind is a symbol that the grammar writes."""
+Match = tuple[str, str, float]
+
+
+def matches(text: str | None, lexicon: Lexicon) -> list[list[Match]]:
+    """For each clause of a whole text that has any: (word, kind, weight) of its insults and threats; kind is a symbol that the grammar writes."""
     low = (text or "").lower()
     if not any(lexicon.weight(w) or w in THREATS for w in set(_WORD.findall(low))):
         return []
@@ -142,17 +145,23 @@ def matches(text: str | None, lexicon: Lexicon) -> list[tuple[str, str, float]]:
             continue
         symbols = ["I" if x else "K" if w in THREATS else "T" if w in TARGETS else "N" if w in NEGATIONS else "R" if w in REPORTS else "w" for w, x in zip(words, weights, strict=True)]
         seen = _backward.run(_forward.run(symbols)[::-1])[::-1]
-        out += [(w, s, x or SEED_WEIGHT) for w, s, x in zip(words, seen, weights, strict=True) if s in FACTOR]
+        out.append([(w, s, x or SEED_WEIGHT) for w, s, x in zip(words, seen, weights, strict=True) if s in FACTOR])
     return out
 
 
-def evidence(found: list[tuple[str, str, float]]) -> list[float]:
-    """Intercept, strongest match, sum over different words, number of different words that stand for something."""
+def clause_score(clause: list[Match]) -> float:
+    """The strongest match of a clause and half of its other different words, each after its factor: an aimed insult counts for more, a negated or reported one for less."""
     best: dict[str, float] = {}
-    for word, kind, weight in found:
+    for word, kind, weight in clause:
         best[word] = max(best.get(word, 0.0), FACTOR[kind] * weight)
-    strong = [x for x in best.values() if x >= 1]
-    return [1.0, max(best.values(), default=0.0), math.log1p(sum(best.values())), math.log1p(len(strong))]
+    top = max(best.values(), default=0.0)
+    return top + 0.5 * (sum(best.values()) - top)
+
+
+def evidence(clauses: list[list[Match]]) -> list[float]:
+    """Intercept, the strongest clause, the sum over clauses, number of clauses that stand for something. Clauses with the same matches, such as those of a repeated line, count once."""
+    scores = [clause_score(c) for c in {tuple(c): c for c in clauses}.values()]
+    return [1.0, max(scores, default=0.0), math.log1p(sum(scores)), math.log1p(sum(x >= 1 for x in scores))]
 
 
 @dataclass(frozen=True)

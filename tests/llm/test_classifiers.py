@@ -86,7 +86,7 @@ PLAIN = toxicity.Lexicon({})
     ],
 )
 def test_clauses(text, kinds):
-    assert "".join(k for _, k, _ in toxicity.matches(text, PLAIN)) == kinds
+    assert "".join(k for c in toxicity.matches(text, PLAIN) for _, k, _ in c) == kinds
 
 
 def test_composition_is_its_parts_one_after_another():
@@ -121,3 +121,13 @@ def test_stems_are_learned():
     got = toxicity.learn(list(entries), *(np.array([v[y] for v in entries.values()], float) for y in (0, 1)), len(clean), len(toxic))
     assert got.weight("zorkxyz") > 2 and got.weight("zor") == 0 and got.weight("the") == 0 and got.weight("zoo") == 0
     assert "zor" not in got.weights  # the words part after zork
+
+
+def test_clauses_are_scored_and_combined():
+    score = lambda t: [toxicity.clause_score(c) for c in toxicity.matches(t, PLAIN)]
+    (aimed,), (alone,), (negated,), (reported,) = score("you are an idiot"), score("what an idiot"), score("he is not an idiot"), score("she said he is an idiot")
+    assert aimed > alone > reported > negated > 0
+    two = score("what an idiot. you clown and moron")
+    assert len(two) == 2 and two[1] > aimed
+    assert toxicity.evidence(toxicity.matches("what an idiot\n" * 5, PLAIN)) == toxicity.evidence(toxicity.matches("what an idiot", PLAIN))
+    assert toxicity.evidence([]) == [1.0, 0.0, 0.0, 0.0]
