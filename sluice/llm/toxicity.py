@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.cluster import materialize
 from sluice.llm.labelled import logistic, remainder, sigmoid, training_rows
 
 # Word classes of the grammar (English, German, French, Spanish function words).
@@ -37,6 +38,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
 MIN_STEM = 3
 LEAST_WEIGHT = 1.0
+#: Log odds from which an entry may be a stem.
+STRONG = 1.5
 #: Where the coefficients of `evidence` are drawn to: with few labelled rows they stay near it.
 PRIOR = (-4.0, 0.8, 0.5, 1.0)
 MEMO_WORDS = 300_000
@@ -173,7 +176,7 @@ class Model:
         return float(sigmoid(np.array(evidence(matches(text, self.lexicon)) @ self.coefficients)))
 
 
-def _counts(rows: DataFrame) -> pd.DataFrame:
+def _counts(rows: DataFrame, size: dict[tuple[int, int], int]) -> pd.DataFrame:
     """(entry, fold, toxic, docs): in how many training documents of either label each word and word beginning stands."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +189,13 @@ def _counts(rows: DataFrame) -> pd.DataFrame:
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["entry", "fold", "toxic", "docs"])
 
     summed = rows.mapInPandas(of, "entry string, fold int, toxic int, docs long").groupBy("entry").agg(*[F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("docs"))).alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)])
-    return summed.na.fill(0).filter("n00 + n01 + n10 + n11 >= 5").toPandas()  # bounded by the training rows
+    summed = materialize(summed.na.fill(0).filter("n00 + n01 + n10 + n11 >= 5"), "entries")
+    # only entries that begin as one does which may be strong in a half or in all reach the driver: no other one is in a lexicon
+    odds = lambda c, t, fs: F.log((t + 0.5) / (sum(size[f, 1] for f in fs) + 1)) - F.log((c + 0.5) / (sum(size[f, 0] for f in fs) + 1))
+    strong = (odds(F.col("n00"), F.col("n01"), [0]) >= STRONG) | (odds(F.col("n10"), F.col("n11"), [1]) >= STRONG) | (odds(F.col("n00") + F.col("n10"), F.col("n01") + F.col("n11"), [0, 1]) >= STRONG)
+    begin = F.substring("entry", 1, MIN_STEM)
+    near = summed.filter(strong & (F.col("n01") + F.col("n11") >= 5)).select(begin.alias("begin")).distinct()
+    return summed.withColumn("begin", begin).join(near, "begin", "left_semi").drop("begin").toPandas()  # bounded by the training rows
 
 
 def learn(entries, clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, min_docs: int = 5) -> Lexicon:
@@ -201,7 +210,7 @@ def learn(entries, clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic:
     share = n_toxic / max(1, n_toxic + n_clean)
     expected = seen * share
     chi = (toxic - expected) ** 2 / np.maximum(1e-9, expected * (1 - share))
-    strong = {e for e, w, c, t in zip(entries, weight, chi, toxic, strict=True) if w >= 1.5 and c >= 30 and t >= min_docs}
+    strong = {e for e, w, c, t in zip(entries, weight, chi, toxic, strict=True) if w >= STRONG and c >= 30 and t >= min_docs}
     # a beginning whose evidence comes from one continuation says no more than that one: the stem is where words part
     most: dict[str, float] = {}
     for e, t in zip(entries, toxic, strict=True):
@@ -219,8 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 3,
     scores are fitted on matches such as unseen documents have. No row of either label: the grammar with English seeds alone.
     """
     rows = training_rows(docs, labels, label, n, held_out, max_rows).withColumn("fold", remainder("doc_id", 997) % 2)
-    counts = _counts(rows)
-    total = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+    total = {(f, t): 0 for f in (0, 1) for t in (0, 1)} | {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+    counts = _counts(rows, total)
     c = {f"{f}{t}": counts[f"n{f}{t}"].to_numpy(dtype=float) for f in (0, 1) for t in (0, 1)}
     size = {f"{f}{t}": total.get((f, t), 0) for f in (0, 1) for t in (0, 1)}
     half = [learn(counts["entry"], c[f"{f}0"], c[f"{f}1"], size[f"{f}0"], size[f"{f}1"]) for f in (0, 1)]
@@ -232,6 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 3,
             yield pd.DataFrame({"label": batch["label"], "found": [evidence(matches(t, halves.value[1 - f])) for t, f in zip(batch["text"], batch["fold"], strict=True)]})
 
     got = rows.mapInPandas(of, "label int, found array<double>").toPandas()
+    halves.destroy()
     if got["label"].nunique() < 2:
         return Model(whole, np.array(PRIOR))
     x, y = np.array(got["found"].tolist()), got["label"].to_numpy(dtype=float)
