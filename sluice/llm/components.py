@@ -41,16 +41,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     number needed grows with the logarithm of the component size).
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    now, before = materialize(now, "edges"), None
+    now = materialize(now, "edges")
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-    for _ in range(max_rounds):
+    before = mark(now)  # edges that are stars already take one round
+    for _ in range(max_rounds if before["n"] else 0):
         now = materialize(_star(_star(now, True), False), "edges")
         found = mark(now)
-        if found == before or not found["n"]:
+        if found == before:
             break
         before = found
     else:
-        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+        if before["n"]:
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     # settled: every edge leads from a vertex to the root of its star
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -74,7 +76,11 @@ def connect_groups(grouped: DataFrame, linked: Callable[[DataFrame], DataFrame],
             both = left.withColumnRenamed("node", "a").join(left.select("key", F.col("node").alias("b"), F.col("root").alias("b_root")), "key").filter("root < b_root")
         pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if roots is not None and pairs.isEmpty():
+            continue
         found = materialize(linked(pairs), "links")
         edges, tried = found if edges is None else edges.union(found), pairs if tried is None else tried.union(pairs)
+        if roots is not None and found.isEmpty():
+            continue
         roots = materialize(connected_components(edges), "roots")
     return roots

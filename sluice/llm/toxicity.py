@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.cluster import materialize
+from sluice.cluster import materialize, release
 from sluice.llm.labelled import logistic, remainder, sigmoid, training_rows
 
 # Word classes of the grammar (English, German, French, Spanish function words).
@@ -242,6 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 3,
 
     got = rows.mapInPandas(of, "label int, found array<double>").toPandas()
     halves.destroy()
+    del counts, c
+    release(docs.sparkSession)
     if got["label"].nunique() < 2:
         return Model(whole, np.array(PRIOR))
     x, y = np.array(got["found"].tolist()), got["label"].to_numpy(dtype=float)
