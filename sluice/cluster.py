@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -62,6 +63,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of queries that are done: Spark removes them when the driver collects its garbage, which may be long after."""
+    """Let go of the shuffle files of queries that are done: Spark removes them when the driver collects its garbage, which may be long after.
+
+    The driver's Python gives the memory of fetched tables back to the system as well.
+    """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
