@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from sluice.cluster import materialize
+from sluice.cluster import materialize, release
 from sluice.llm import decontaminate, mixing, queries, shingles, tokens, toxicity, unused
 
 
@@ -62,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark)
     return docs
 
 
