@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import bounded_batches
+
 _WORD = re.compile(r"\w+")
 #: Items of one pass over the documents: bounds what is broadcast, whatever the benchmark's size.
 ITEMS_PER_PASS = 20_000
@@ -252,6 +254,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     """
     schema = "doc_id string, item_id long, edits int, similarity double, start_word int, end_word int"
     rows, found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), None
+    bounded_batches(docs.sparkSession)
     for index in _indexes(benchmark, similarity, recall):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -272,6 +275,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; columns as they are. No shuffle: each row is judged by itself."""
+    bounded_batches(docs.sparkSession)
     for index in _indexes(benchmark, similarity, recall):
         docs = docs.filter(~_holds(docs.sparkSession.sparkContext.broadcast(index))("text"))
     return docs

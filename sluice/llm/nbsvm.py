@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.cluster import materialize
+from sluice.llm import bounded_batches
 from sluice.llm.labelled import logistic, remainder, sigmoid, training_rows
 
 MEMO_WORDS = 300_000
@@ -173,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 5
         for s in texts:
             yield pd.Series([features(x, words_too).view(np.int64) for x in s])
 
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, n, held_out, max_rows)
     rows = materialize(rows.select("doc_id", "label", of("text").alias("found")), "features")
     often = rows.select(F.explode("found").alias("f")).groupBy("f").count().filter(F.col("count") >= min_docs).select("f").toPandas()
@@ -198,6 +200,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     The model goes to the executors by broadcast; its size is bounded by the training rows, whatever the corpus.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.cluster import materialize, release
-from sluice.llm import simhash
+from sluice.llm import bounded_batches, simhash
 from sluice.llm.components import connect_groups, connected_components
 
 ROWS, BANDS = 6, 24
@@ -72,6 +72,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 sets = [shingle_set(x, width) for x in s.iloc[k : k + PART]]
                 yield pd.DataFrame({"set": [set_id(x) for x in sets], "shingles": [x.view(np.int64) for x in sets]})
 
+    bounded_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = named.select("doc_id", of("text").alias("x")).select("doc_id", "x.fp", "x.set", "x.keys")
     prints = materialize(prints, "prints")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.cluster import materialize
+from sluice.llm import bounded_batches
 from sluice.llm.components import connected_components
 
 BITS = 64
@@ -59,6 +60,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp", widt
         for s in texts:
             yield pd.Series(np.array([fingerprint(x, width, seed) for x in s], dtype=np.uint64).view(np.int64))
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(into, of(F.col(text)))
 
 

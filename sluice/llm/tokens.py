@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.cluster import materialize, shared_path
-from sluice.llm import bitplanes
+from sluice.llm import bitplanes, bounded_batches
 
 END_ID = 2
 #: Words that a worker remembers; beyond it, it forgets all of them and starts again.
@@ -112,6 +112,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
         n_docs, n_ids = bitplanes.write_file(name, ids, **how)
         yield pd.DataFrame({"shard": [shard], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
+    bounded_batches(docs.sparkSession)
     # as text, so that no null turns integers into floating-point numbers on the way
     by = order or [doc_id]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"by{k}") for k, c in enumerate(by)])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.cluster import materialize, release
+from sluice.llm import bounded_batches
 from sluice.llm.labelled import logistic, remainder, sigmoid, training_rows
 
 # Word classes of the grammar (English, German, French, Spanish function words).
@@ -227,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 3,
     Two halves of the rows give a lexicon each; either half's matches are found by the other's, so that the
     scores are fitted on matches such as unseen documents have. No row of either label: the grammar with English seeds alone.
     """
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, n, held_out, max_rows).withColumn("fold", remainder("doc_id", 997) % 2)
     total = {(f, t): 0 for f in (0, 1) for t in (0, 1)} | {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
     counts = _counts(rows, total)
@@ -252,6 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", n: int = 3,
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the probability that its whole text is toxic; null counts as the empty text, which has a score too."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from sluice.llm import shingles, simhash
+from sluice.llm import BATCH_BYTES, shingles, simhash
 
 
 def jaccard(a, b):
@@ -55,3 +55,19 @@ def test_a_large_family_equals_all_pairs(spark):
     rows = [(k, " ".join(v)) for k, v in enumerate(family)]
     kept = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert 1 < len(slow_kept(rows)) < 100 and sorted(r.doc_id for r in kept.collect()) == slow_kept(rows)
+
+
+def test_batches_for_python_are_bounded(spark):
+    """By bytes, unless the session has a bound of its own; the results are those of one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(k, f"{k % 7} " * 400) for k in range(60)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "2000")
+        small = sorted(tuple(r) for r in shingles.near_duplicates(df).collect())
+        assert spark.conf.get(key) == "2000"
+        spark.conf.unset(key)
+        assert sorted(tuple(r) for r in shingles.near_duplicates(df).collect()) == small == [(k, k % 7) for k in range(60)]
+        assert int(spark.conf.get(key)) == BATCH_BYTES
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
