@@ -57,12 +57,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def connect_groups(grouped: DataFrame, linked: Callable[[DataFrame], DataFrame], hubs: int = 2, edges: DataFrame | None = None) -> DataFrame:
+def connect_groups(grouped: DataFrame, linked: Callable[[DataFrame], DataFrame], hubs: int = 2, edges: DataFrame | None = None, crowded: Callable[[DataFrame], DataFrame] | None = None, group: int = 24) -> DataFrame:
     """(node, root) of the components that pairs of nodes under one key make, where ``linked`` keeps the linked ones of pairs (a, b), a < b.
 
     ``grouped`` has (node, key), distinct, as a written table. The components are those of all pairs, with fewer tried: in each of ``hubs`` rounds
     the members of a key are tried against one of them; then all pairs that are still in different components. Pairs within a component change nothing.
-    ``edges`` (a, b): links that are known already, of these nodes or others.
+    ``edges`` (a, b): links that are known already, of these nodes or others. ``crowded`` gives, for (node, root) of what is left under keys of more
+    than ``group`` nodes, pairs (a, b), a < b, of different components that hold all linked ones: these nodes are not paired all with all then.
     """
     tried, roots = None, None if edges is None else materialize(connected_components(edges), "roots")
     for k in range(hubs + 1):
@@ -72,9 +73,14 @@ def connect_groups(grouped: DataFrame, linked: Callable[[DataFrame], DataFrame],
         if k < hubs:
             both = rows.withColumnRenamed("node", "a").join(mixed, "key").filter("root <> b_root")
         else:
-            left = rows.join(mixed, "key", "left_semi")
+            left, more = materialize(rows.join(mixed, "key", "left_semi").select("node", "key", "root"), "left"), None
+            if crowded is not None:
+                large = materialize(left.groupBy("key").count().filter(F.col("count") > group).select("key"), "large")
+                many = materialize(left.join(large, "key", "left_semi").select("node", "root").distinct(), "crowded")
+                left, more = left.join(large, "key", "left_anti"), None if many.isEmpty() else crowded(many)
             both = left.withColumnRenamed("node", "a").join(left.select("key", F.col("node").alias("b"), F.col("root").alias("b_root")), "key").filter("root < b_root")
-        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = (pairs.union(more) if k == hubs and more is not None else pairs).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if roots is not None and pairs.isEmpty():
             continue

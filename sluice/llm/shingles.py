@@ -12,7 +12,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.cluster import materialize, release
@@ -49,6 +49,26 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(low.reshape(BANDS, ROWS))]
 
 
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different roots that hold all pairs of this Jaccard similarity; ``sets``: (node, root, shingles), one row a node.
+
+    The prefix filter: with shingles in one order, the rarest first, the first one that two such sets share stands among the first
+    1 - 2t/(1+t) of the smaller and the first 1 - t of the larger, and what follows it leaves room for the overlap. So a passage
+    that many texts share brings no pairs, as long as more than that is their own.
+    """
+    t, eps = similarity, 1e-6
+    each = materialize(sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("s")), "members")
+    counted = each.join(each.groupBy("s").agg(F.count("*").alias("n")), "s")
+    ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("n", "s")) - 1)
+    prefix = materialize(ranked.filter(F.expr(f"n > 1 and at <= size - ceil({t} * size - {eps})")).select("node", "root", "size", "s", "at"), "prefixes")
+    a, b = (prefix.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "size", "at")]) for x in "ab")
+    a = a.filter(F.expr(f"a_at <= a_size - ceil({2 * t / (1 + t)} * a_size - {eps})"))
+    smaller = "(a_size < b_size or a_size = b_size and a_node < b_node) and a_root <> b_root"
+    room = f"a_size >= {t} * b_size - {eps} and least(a_size - a_at, b_size - b_at) >= {t / (1 + t)} * (a_size + b_size) - {eps}"
+    pairs = a.join(b, "s").filter(F.expr(f"{smaller} and {room}"))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) of each row, as simhash.near_duplicates has it: links are shingle sets of this Jaccard similarity, and fingerprints within ``radius`` bits.
 
@@ -94,7 +114,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         near = pairs.join(a, "a").join(b, "b").filter(least >= similarity * most - 1e-9)
         return near.filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both) - 1e-9).select("a", "b")
 
-    similar = connect_groups(grouped, linked)
+    def crowded(nodes: DataFrame) -> DataFrame:
+        return prefix_pairs(nodes.join(sets, F.col("node") == F.col("set")).select("node", "root", "shingles"), similarity)
+
+    similar = connect_groups(grouped, linked, crowded=crowded)
     release(docs.sparkSession)
     prints_of = prints.select("fp", "set").distinct()
     least = prints_of.groupBy("fp").agg(F.min("set").alias("node"))

@@ -71,3 +71,45 @@ def test_batches_for_python_are_bounded(spark):
         assert int(spark.conf.get(key)) == BATCH_BYTES
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    """Against all pairs: families around the limit, a passage that all share, tiny and equal sets."""
+    rng = random.Random(11)
+    shared = rng.sample(range(10**9), 40)
+    sets = [[1], [1, 2], [1, 2, 3, 4, 5], [1, 2, 3, 4]]
+    for _ in range(20):
+        base = [*shared, *rng.sample(range(10**9), rng.randrange(5, 80))]
+        for _ in range(8):
+            keep = rng.choice((0.8, 0.88, 0.9, 0.95))
+            sets.append([x if rng.random() < keep else rng.randrange(10**9) for x in base])
+    sets = [sorted(set(x)) for x in sets]
+    rows = [(k, k, x) for k, x in enumerate(sets)]
+    got = {(r.a, r.b) for r in shingles.prefix_pairs(spark.createDataFrame(rows, "node long, root long, shingles array<long>"), 0.8).collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) - 1e-9}
+    assert len(near) > 40 and near <= got
+    assert all(a < b for a, b in got) and len(got) < len(sets) * (len(sets) - 1) / 8
+    one = [(k, 0, x) for k, _, x in rows]
+    assert shingles.prefix_pairs(spark.createDataFrame(one, "node long, root long, shingles array<long>"), 0.8).isEmpty()
+
+
+def test_crowded_keys_equal_all_pairs(spark):
+    """More texts of one template under a key than are paired all with all."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([*passage, *(f"x{rng.randrange(10**6)}" for _ in range(rng.choice((8, 16, 24))))]) for _ in range(90)]
+    texts += [t + " more" for t in texts[:20]]
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set(shingles.shingle_set(t).tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 or bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") <= 2:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {k: root(k) for k in range(len(texts))}
