@@ -23,6 +23,7 @@ END_ID = 2
 MEMO_WORDS = 400_000
 _PLAIN = re.compile(r"[\x20-\x7e\n\r\t]*\Z")
 _LATIN_WORD = re.compile(r"(?:(?!<\|)[!-~À-ÖØ-öø-ÿ])+\Z")
+_LATIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*\Z")
 # what the tokenizer's own pre-tokenizer splits words into, for the letters above, in lower case
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
@@ -38,8 +39,8 @@ class WordEncoder:
     """Ids of texts under a tokenizer that drops white space, word by word, each word encoded once.
 
     The tokenizer's normaliser and splitter never look across a blank or line feed, so a text's ids are those of its
-    blank-separated words, joined. Words of ASCII and Latin-1 letters go straight to the tokenizer's model;
-    all others take its whole way.
+    blank-separated words, joined. Words of ASCII and Latin-1 letters go straight to the tokenizer's model, and whole
+    texts of such words are split into its pieces at once; all others take its whole way.
     """
 
     def __init__(self, path: str, memo: int = MEMO_WORDS):
@@ -52,7 +53,7 @@ class WordEncoder:
 
         class Pieces(dict):
             def __missing__(self, piece):
-                ids = np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))], dtype="<u4").tobytes()
+                ids = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
                 if len(self) >= memo:
                     self.clear()
                 self[piece] = ids
@@ -71,10 +72,12 @@ class WordEncoder:
                 self[word] = ids
                 return ids
 
-        self.words = Words()
+        self.words, self.pieces = Words(), pieces
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if _LATIN_TEXT.match(text) and "<|" not in text:  # no piece holds a blank: all words at once
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -59,6 +59,14 @@ def test_words_are_what_the_whole_tokenizer_gives():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("text", ["", " ", "\n \n", "Hello, WORLD's  end\nit's we'll I'M", "É'S ÀÖØ ß ÷× x'", "a <| b", "1 2 34\n'"])
+def test_plain_texts_are_split_at_once(text):
+    enc = tokens.WordEncoder(queries.word_tokenizer())
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    plain = not ("<|" in text or "÷" in text)
+    assert not enc.words if plain else enc.words  # no word is looked up one by one
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aZé's 'tÀ1_-\n <|")), max_size=60))
 def test_any_text_is_what_the_whole_tokenizer_gives(text):
