@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -154,7 +155,7 @@ class Index:
         look, parts, starts, at = self.vocabulary.get, [], [], 0
         for t in texts:
             w = words(t)
-            parts.append(np.fromiter((look(x, 0) for x in w), dtype=np.int64, count=len(w)))
+            parts.append(np.fromiter(map(look, w, repeat(0)), dtype=np.int64, count=len(w)))
             parts.append(np.array([self.size - 1]))
             starts.append(at)
             at += len(w) + 1
@@ -192,10 +193,11 @@ class Index:
         if len(at) and len(self.triples):
             code = (text[at] * self.size + text[at + 1]) * self.size + text[at + 2]
             place = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
-            at = at[self.triples[place] == code]
+            held = self.triples[place] == code
+            at, code = at[held], code[held]
         else:
-            at = at[:0]
-        self.hits = at
+            at = code = at[:0]
+        self.hits, self.hit_codes = at, code
         candidates: dict[tuple[int, int], list[int]] = {}
         for g in self.groups:
             starts = self._admitted(text, bounds, g.shortest, g.longest)
@@ -218,6 +220,16 @@ class Index:
                 out.append((d, self.ids[owner], found[0], found[1] - int(bounds[d]), found[2] - int(bounds[d])))
         return out
 
+    def _may_hold(self, text: np.ndarray, a: int, b: int, item: np.ndarray) -> bool:
+        """Whether text[a:b] has as many of the item's triples and words as the allowed edits leave at least; where it has not, no part of it is within them."""
+        n, k = len(item), edits_allowed(len(item), self.similarity)
+        need = n - 2 - 3 * k
+        if need >= 1:
+            low, high = np.searchsorted(self.hits, (a, b - 2))
+            if high <= low or np.isin(self._triple(item), self.hit_codes[low:high]).sum() < need:
+                return False
+        return bool(np.isin(item, text[a:b]).sum() >= n - k)
+
     def _verify(self, text: np.ndarray, begin: int, end: int, item: np.ndarray, places: list[int]) -> tuple[int, int, int] | None:
         n, k = len(item), edits_allowed(len(item), self.similarity)
         for p in places:
@@ -229,10 +241,12 @@ class Index:
             while high + 1 < len(places) and places[high + 1] - places[high] <= n:
                 high += 1
             a, b = max(begin, places[low] - n - k), min(end, places[high] + 2 * (n + k))
+            low = high + 1
+            if not self._may_hold(text, a, b, item):
+                continue
             edits, s, e = best_match(item, text[a:b])
             if edits <= k and (best is None or edits < best[0]):
                 best = (edits, a + s, a + e)
-            low = high + 1
         return best
 
 

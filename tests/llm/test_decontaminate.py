@@ -128,3 +128,23 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"x alpha{k} beta gamma delta y") for k in range(9)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in d.matches(docs, bench).collect()) == [(k, k) for k in range(9)]
     assert d.drop_contaminated(docs, bench).count() == 0
+
+
+def test_places_that_cannot_hold_an_item_need_no_edit_distance(items, monkeypatch):
+    """A place that has too few of an item's words or triples is left without an edit distance, and never one within the allowed edits."""
+    rng, index, tried, real = random.Random(11), d.Index(items), [], d.best_match
+    monkeypatch.setattr(d, "best_match", lambda item, text: tried.append(len(item)) or real(item, text))
+    for k, item in enumerate(index.items):
+        allowed, w = d.edits_allowed(len(item)), items[k][1].split()
+        for edits in (0, 1, allowed, allowed + 2, len(item)):
+            text = " ".join([*prose(rng, 20), *edited(rng, w, edits), *prose(rng, 20)])
+            index.find([text])
+            seq, _ = index.encode([text])
+            best, _, _ = real(item, seq[:-1])
+            found = index._verify(seq, 0, len(seq) - 1, item, [20])
+            assert (None if found is None else found[0]) == (best if best <= allowed else None)
+        other = items[k - 1][1]
+        index.find([other])
+        seq, _ = index.encode([other])
+        tried.clear()
+        assert index._verify(seq, 0, len(seq) - 1, item, [0]) is None and not tried
